@@ -62,6 +62,8 @@ RAW_SCHEMA = T.StructType(
         T.StructField("PRIMARY_PLAN_TYPE", _S),
         T.StructField("TIME_OF_DAY_BUCKET", _S),
         T.StructField("SEASON_BUCKET", _S),
+        # Says what "earlier" means for running rates; never a model input.
+        T.StructField("EVENT_TIME", _TS),
     ]
 )
 
@@ -84,6 +86,8 @@ NON_FEATURES = [
     "ENCNTR_TYPE",
     "TIME_OF_DAY_BUCKET",
 ]
+# Our own event clock is no model input either.
+NON_FEATURES = [*NON_FEATURES, "EVENT_TIME"]
 
 # Model inputs, numeric first, then the encoded categories.
 NUMERIC_FEATURES = [
