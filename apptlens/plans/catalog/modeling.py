@@ -1 +1,223 @@
-"""To be filled."""
+"""Encoding, training, calibration, scoring, attribution."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from apptlens.functions.cleaning import binary_target
+from apptlens.operators import encode, evaluate, explain, models
+from apptlens.plans import scoring, training
+from apptlens.plans.features import build_features
+from apptlens.plans.registry import query, r10
+from apptlens.schemas import CATEGORY_FEATURES, FEATURES
+from apptlens.session import materialize
+from apptlens.sources import star
+
+# Small settings keep a full-table fit short; the settings of a production
+# model are in operators.models.
+_QUICK = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.8}
+
+_FITTED: dict = {}
+
+
+def fitted(spark: SparkSession, d: str) -> training.Trained:
+    """One training run per session and data folder, shared by the queries below."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = training.train_risk_model(star.raw_history(spark, d), _QUICK)
+    return _FITTED[key]
+
+
+def _vectors(spark, d, part: str) -> DataFrame:
+    return models.assemble(fitted(spark, d).table.filter(F.col("part") == part), FEATURES)
+
+
+# --- encoding ----------------------------------------------------------------
+
+_ENCODED = ["SEX", "LANGUAGE", "SERVICE_LINE_USED", "REFERRING_PHYSICIAN"]
+_ENCODERS = "enc AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+        FROM (SELECT DISTINCT {c} AS v FROM labeled WHERE {c} IS NOT NULL)"""
+    for c in _ENCODED
+) + ")"
+
+
+def _labeled(spark, d, *columns):
+    r = star.raw_history(spark, d, "APPT", "APPT_STATUS", *columns)
+    return r.withColumn("y", binary_target(F.col("APPT_STATUS"))).filter(F.col("y").isNotNull())
+
+
+@query("label_encode_fit", f'WITH {_ENCODERS} SELECT "column", value, code FROM enc')
+def _(spark, d):
+    return encode.label_encode_fit(_labeled(spark, d, *_ENCODED), _ENCODED)
+
+
+# Encoders that know only some referrers, so that the other rows bring unseen values.
+_PART_ENCODERS = """penc AS (SELECT v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT REFERRING_PHYSICIAN AS v FROM labeled WHERE REFERRING_PHYSICIAN < 'Brand#2' AND REFERRING_PHYSICIAN IS NOT NULL))"""
+
+
+@query(
+    "label_encode_apply",
+    f"WITH {_PART_ENCODERS} SELECT APPT AS id, coalesce(code, 0) AS code FROM labeled LEFT JOIN penc ON value = REFERRING_PHYSICIAN",
+)
+def _(spark, d):
+    rows = _labeled(spark, d, "REFERRING_PHYSICIAN")
+    known = encode.label_encode_fit(rows.filter("REFERRING_PHYSICIAN < 'Brand#2'"), ["REFERRING_PHYSICIAN"])
+    out = encode.label_encode_apply(rows, known, ["REFERRING_PHYSICIAN"])
+    return out.select(F.col("APPT").alias("id"), F.col("REFERRING_PHYSICIAN").alias("code"))
+
+
+@query("label_decode", "SELECT APPT AS id, LANGUAGE AS language, SEX AS sex FROM labeled")
+def _(spark, d):
+    rows = _labeled(spark, d, "LANGUAGE", "SEX")
+    enc = encode.label_encode_fit(rows, ["LANGUAGE", "SEX"])
+    coded = encode.label_encode_apply(rows, enc, ["LANGUAGE", "SEX"])
+    back = encode.label_decode(coded, enc, ["LANGUAGE", "SEX"])
+    return back.select(F.col("APPT").alias("id"), F.col("LANGUAGE").alias("language"), F.col("SEX").alias("sex"))
+
+
+@query("encoding_map", f"WITH {_ENCODERS} SELECT value, code FROM enc WHERE \"column\" = 'LANGUAGE'")
+def _(spark, d):
+    return encode.encoding_map(encode.label_encode_fit(_labeled(spark, d, *_ENCODED), _ENCODED), "LANGUAGE")
+
+
+@query("align_features", "SELECT APPT AS id, APPT_HOUR, 0 AS NOT_THERE, APPT_DOW FROM labeled")
+def _(spark, d):
+    rows = _labeled(spark, d, "APPT_DOW", "APPT_HOUR", "DURATION").withColumn("id", F.col("APPT"))
+    return encode.align_features(rows, ["APPT_HOUR", "NOT_THERE", "APPT_DOW"], keep=["id"])
+
+
+@query("select_by_type", """SELECT column_name AS "column", CASE WHEN column_type = 'VARCHAR' THEN 'text' ELSE 'numeric' END AS kind,
+    (SELECT count(*) FROM raw) AS rows FROM (SELECT unnest(['UNIQUE_ID', 'ENCNTR', 'AGE', 'APPT_DOW', 'LEAD_TIME_DAYS']) AS column_name,
+    unnest(['VARCHAR', 'BIGINT', 'VARCHAR', 'INTEGER', 'DOUBLE']) AS column_type)""")
+def _(spark, d):
+    r = star.raw_history(spark, d, "UNIQUE_ID", "ENCNTR", "AGE", "APPT_DOW", "LEAD_TIME_DAYS", "EVENT_TIME")
+    kinds = [(c, kind) for kind, names in encode.select_by_type(r).items() for c in names]
+    listing = spark.createDataFrame(kinds, "column string, kind string")
+    return listing.withColumn("rows", r.agg(F.count("*")).scalar())
+
+
+_CATEGORY_SOURCE = {
+    "SEX": "sex", "LANGUAGE": "language", "ZIPCODE3": "zipcode", "APPT_TYPE_CODE": "appt_type_code", "MEDICAL_SERVICE_CODE": "medical_service_code",
+    "FACILITY_CODE": "facility_code", "NURSE_UNIT_CODE": "nurse_unit_code", "SERVICE_LINE_USED": "service_line_used",
+    "ATTENDING_PHYSICIAN": "attending_physician", "REFERRING_PHYSICIAN": "referring_physician", "PRIMARY_PLAN_TYPE": "primary_plan_type",
+}
+_RANKS = ",\n".join(
+    f"e_{name} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {source} AS v FROM hist WHERE {source} IS NOT NULL))"
+    for name, source in _CATEGORY_SOURCE.items()
+)
+_RANK_JOINS = " ".join(f"LEFT JOIN e_{name} ON e_{name}.v = b.{source}" for name, source in _CATEGORY_SOURCE.items())
+_RANK_CODES = ", ".join(f"coalesce(e_{name}.code, 0) AS {name}" for name in _CATEGORY_SOURCE)
+_SEASON = """CASE WHEN month(appointment_date) IN (12, 1, 2) THEN 'Winter' WHEN month(appointment_date) IN (3, 4, 5) THEN 'Spring'
+  WHEN month(appointment_date) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END"""
+
+
+@query(
+    "build_features",
+    f"""WITH hist AS (SELECT * FROM appts WHERE status <> 'Scheduled'),
+        pt AS (SELECT patient_id, count(*) AS n, count(*) FILTER (WHERE status = 'No-Show') AS k FROM hist GROUP BY ALL),
+        pr AS (SELECT attending_physician, count(*) AS n, count(*) FILTER (WHERE status = 'No-Show') AS k FROM hist GROUP BY ALL),
+        {_RANKS},
+        e_SEASON AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {_SEASON} AS v FROM hist))
+        SELECT b.id, b.age AS AGE, CAST(lead_days AS INTEGER) AS LEAD_TIME_DAYS, CAST(isodow(appointment_date) AS INTEGER) AS APPT_DOW,
+        CAST(hour(appointment_date) AS INTEGER) AS APPT_HOUR, CASE WHEN isodow(appointment_date) >= 6 THEN 1 ELSE 0 END AS IS_WEEKEND,
+        coalesce(pt.n, 0) AS APPT_COUNT_BY_PATIENT, round(coalesce(pt.k * 1.0e0 / pt.n, 0.0e0), 10) AS PATIENT_NOSHOW_RATE,
+        round(coalesce(pr.k * 1.0e0 / pr.n, 0.211e0), 10) AS PHYSICIAN_NOSHOW_RATE, {_RANK_CODES}, coalesce(e_SEASON.code, 0) AS SEASON_BUCKET
+        FROM appts b LEFT JOIN pt USING (patient_id) LEFT JOIN pr USING (attending_physician) {_RANK_JOINS}
+        LEFT JOIN e_SEASON ON e_SEASON.v = {_SEASON} WHERE b.status = 'Scheduled'""",
+)
+def _(spark, d):
+    from apptlens.functions.temporal import season_bucket
+
+    a = star.appointments(spark, d)
+    past = a.filter("status <> 'Scheduled'")
+    fit_on = past.select(*[F.col(s).alias(n) for n, s in _CATEGORY_SOURCE.items()], season_bucket(F.col("appointment_date")).alias("SEASON_BUCKET"))
+    encoders = materialize(encode.label_encode_fit(fit_on, CATEGORY_FEATURES), "encoders")
+    rows = build_features(a.filter("status = 'Scheduled'"), past, encoders)
+    return rows.withColumns({c: r10(c) for c in ("PATIENT_NOSHOW_RATE", "PHYSICIAN_NOSHOW_RATE")})
+
+
+@query(
+    "class_weight",
+    """WITH c AS (SELECT count(*) FILTER (WHERE target = 1) AS np, count(*) FILTER (WHERE target = 0) AS nn FROM labeled)
+       SELECT APPT AS id, CASE target WHEN 1 THEN round_even(nn * 1.0e0 / np, 4) ELSE 1.0e0 END AS weight,
+       round((np + nn) / (2.0e0 * CASE target WHEN 1 THEN np ELSE nn END), 10) AS balanced FROM labeled, c""",
+)
+def _(spark, d):
+    rows = _labeled(spark, d)
+    both = encode.class_weight(encode.class_weight(rows, "y", balanced=True).withColumnRenamed("weight", "balanced"), "y")
+    return both.select(F.col("APPT").alias("id"), "weight", r10("balanced").alias("balanced"))
+
+
+# --- fitting -----------------------------------------------------------------
+
+
+@query("train_gbt")
+def _(spark, d):
+    """Headline quality of the boosted trees on patients never seen in training."""
+    return fitted(spark, d).metrics()
+
+
+@query("train_random_forest")
+def _(spark, d):
+    train = encode.class_weight(_vectors(spark, d, "train").drop("weight"), "y", balanced=True)
+    forest = models.train_random_forest(train, weight="weight", numTrees=20, maxDepth=6)
+    test = models.positive_probability(_vectors(spark, d, "test"), forest, "p")
+    return evaluate.roc_auc(test)
+
+
+@query("train_model_set")
+def _(spark, d):
+    train, test = _vectors(spark, d, "train"), _vectors(spark, d, "test")
+    several = models.train_model_set(
+        train, forest={"numTrees": 10, "maxDepth": 5}, boosted={"maxIter": 5, "maxDepth": 4}
+    )
+    return evaluate.model_comparison(models.score_models(several, {"Train": train, "Test": test}))
+
+
+@query("tune_params")
+def _(spark, d):
+    """Three trials from narrowed ranges; production searches use SEARCH_SPACE."""
+    narrow = {**models.SEARCH_SPACE, "maxIter": ("int", 2, 6), "maxDepth": ("int", 2, 4)}
+    _, trials = training.tune(fitted(spark, d).table, 3, space=narrow)
+    return trials
+
+
+@query("platt_calibrate")
+def _(spark, d):
+    """Per calibration decile: mean score before and after, observed rate."""
+    rows = fitted(spark, d).test_scores
+    after = evaluate.calibration_curve(rows, 10).withColumnsRenamed({"mean_predicted": "mean_calibrated"})
+    before = evaluate.calibration_curve(rows, 10, p="p_raw").select("bin", F.col("mean_predicted").alias("mean_raw"))
+    return after.join(before, "bin", "left")
+
+
+@query("score_batch")
+def _(spark, d):
+    """Every scheduled appointment scored against the history of resolved ones."""
+    trained = fitted(spark, d)
+    a = star.appointments(spark, d)
+    scored = scoring.score_bookings(a.filter("status = 'Scheduled'"), a.filter("status <> 'Scheduled'"), trained.model, trained.encoders)
+    return scored.select("id", "predicted_risk_prob", "risk_level")
+
+
+@query("feature_importance")
+def _(spark, d):
+    return models.feature_importance(spark, fitted(spark, d).model.base, FEATURES)
+
+
+@query("topk_importance")
+def _(spark, d):
+    return models.topk_importance(models.feature_importance(spark, fitted(spark, d).model.base, FEATURES), 10)
+
+
+@query("contrib_batch")
+def _(spark, d):
+    """Contributions of every test row, with the margin they must add up to."""
+    model = fitted(spark, d).model
+    rows = _vectors(spark, d, "test")
+    parts = explain.contrib_batch(rows, model.base, FEATURES, keep=["id"])
+    total = F.aggregate("contribs", F.col("bias"), lambda acc, c: acc + c["value"])
+    return parts.select("id", "contribs", "bias", total.alias("margin"))

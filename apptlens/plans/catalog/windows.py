@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apptlens.functions.cleaning import binary_target
-from apptlens.operators import evaluate, explain, history, splits, trend
+from apptlens.functions.temporal import iso_day_of_week
+from apptlens.operators import encode, evaluate, explain, history, splits, trend
 from apptlens.plans.registry import day, query, r10
 from apptlens.sources import star
 
@@ -94,16 +95,15 @@ def _(spark, d):
     return evaluate.score_totals(star.scored(spark, d), rows_per_range=100)
 
 
-_CONTRIBS = """contribs AS (SELECT id, 'f' || CAST(k AS VARCHAR) AS feature, ((id % 1000003) * 31 + k * 17) % 101 - 50.0e0 AS value FROM appts, range(1, 9) t(k))"""
+_CONTRIBS = """contribs AS (SELECT id, 'f' || CAST(k AS VARCHAR) AS feature, ((id % 1000003) * 31 + k * 17) % 101 - 50.0e0 AS value FROM appts, range(1, 6) t(k))"""
 
 
 def contributions(spark, d):
-    """Contributions from a known formula: eight per appointment."""
+    """Contributions from a known formula: five per appointment."""
     a = star.appointments(spark, d, "id")
     number = F.pmod("id", F.lit(1000003))
-    values = [((number * 31 + k * 17) % 101 - 50).cast("double") for k in range(1, 9)]
-    a = a.select("id", F.array(*values).alias("values"))
-    return explain.zip_names_values(a, [f"f{k}" for k in range(1, 9)], "values", keep=["id"])
+    values = F.array(*[((number * 31 + k * 17) % 101 - 50).cast("double") for k in range(1, 6)])
+    return a.select("id", explain.named_values([f"f{k}" for k in range(1, 6)], values).alias("contribs"))
 
 
 @query(
@@ -118,10 +118,10 @@ def _(spark, d):
     "topk_contrib",
     f"""WITH {_CONTRIBS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feature) AS INTEGER) AS place FROM contribs)
         SELECT id, feature, value, place, CASE WHEN value > 0 THEN 'Increases Risk' ELSE 'Decreases Risk' END AS direction, printf('%+.3f', value) AS value_text
-        FROM r WHERE place <= 5""",
+        FROM r WHERE place <= 3""",
 )
 def _(spark, d):
-    return explain.topk_contrib(contributions(spark, d))
+    return explain.topk_contrib(contributions(spark, d), k=3)
 
 
 @query("contrib_global", f"WITH {_CONTRIBS} SELECT feature, round(avg(abs(value)), 10) AS mean_abs FROM contribs GROUP BY feature")
@@ -139,6 +139,52 @@ def _(spark, d):
     return explain.contrib_waterfall(contributions(spark, d))
 
 
+# Contributions over real model inputs, to show their values next to them.
+_WITH_VALUES = """v AS (SELECT id, sex, language, [age * 1.0e0, isodow(appointment_date) * 1.0e0, predicted_risk_prob, CASE sex WHEN 'F' THEN 0.0e0 ELSE 1.0e0 END, n_language] AS x FROM appts
+    JOIN (SELECT language, dense_rank() OVER (ORDER BY language) - 1.0e0 AS n_language FROM (SELECT DISTINCT language FROM appts)) USING (language)),
+  n AS (SELECT * FROM (VALUES (1, 'AGE'), (2, 'APPT_DOW'), (3, 'PATIENT_NOSHOW_RATE'), (4, 'SEX'), (5, 'LANGUAGE')) t(k, feature)),
+  l AS (SELECT id, feature, ((id % 1000003) * 31 + k * 17) % 101 - 50.0e0 AS value, x[k] AS raw_value,
+    CASE feature WHEN 'AGE' THEN printf('%.0f', x[k]) WHEN 'APPT_DOW' THEN ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][CAST(x[k] AS INTEGER)]
+      WHEN 'PATIENT_NOSHOW_RATE' THEN printf('%.1f%%', x[k] * 100) WHEN 'SEX' THEN sex ELSE language END AS display FROM v, n)"""
+_VALUE_INPUTS = ["AGE", "APPT_DOW", "PATIENT_NOSHOW_RATE", "SEX", "LANGUAGE"]
+
+
+def _with_inputs(spark, d):
+    a = star.appointments(spark, d, "id", "age", "appointment_date", "predicted_risk_prob", "sex", "language")
+    number = F.pmod("id", F.lit(1000003))
+    values = F.array(*[((number * 31 + k * 17) % 101 - 50).cast("double") for k in range(1, 6)])
+    rows = a.select(
+        "id",
+        F.col("age").cast("double").alias("AGE"),
+        iso_day_of_week(F.col("appointment_date")).alias("APPT_DOW"),
+        F.col("predicted_risk_prob").alias("PATIENT_NOSHOW_RATE"),
+        F.col("sex").alias("SEX"),
+        F.col("language").alias("LANGUAGE"),
+        F.col("sex").alias("sex_text"),
+        F.col("language").alias("language_text"),
+        explain.named_values(_VALUE_INPUTS, values).alias("contribs"),
+    )
+    return encode.label_encode_apply(rows, encode.label_encode_fit(rows, ["SEX", "LANGUAGE"]), ["SEX", "LANGUAGE"])
+
+
+_TEXTS = {"SEX": "sex_text", "LANGUAGE": "language_text"}
+
+
+@query("contrib_with_values", f"WITH {_WITH_VALUES} SELECT id, feature, value, raw_value, display FROM l")
+def _(spark, d):
+    return explain.contrib_with_values(_with_inputs(spark, d), _VALUE_INPUTS, _TEXTS)
+
+
+@query(
+    "contrib_top5",
+    f"""WITH {_WITH_VALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feature) AS place FROM l)
+        SELECT id, feature, value, raw_value, display, CASE WHEN value > 0 THEN 'Increases Risk' ELSE 'Decreases Risk' END AS direction,
+        printf('%+.3f', value) AS value_text FROM r WHERE place <= 3""",
+)
+def _(spark, d):
+    return explain.contrib_top5(_with_inputs(spark, d), _VALUE_INPUTS, _TEXTS, k=3)
+
+
 @query("lead_vs_risk", "SELECT id, CAST(lead_days AS INTEGER) AS lead_time_days, predicted_risk_prob, age, risk_level, medical_service_code FROM appts")
 def _(spark, d):
     from apptlens.functions.temporal import lead_time_days
