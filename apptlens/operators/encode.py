@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from apptlens.functions.cleaning import round_n, safe_ratio
 from apptlens.operators.prefix import ROWS_PER_RANGE, row_numbers, scalars
+from apptlens.session import materialize
 
 
 def label_encode_fit(df: DataFrame, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -17,9 +18,9 @@ def label_encode_fit(df: DataFrame, columns: Sequence[str], rows_per_range: int
 
     All columns are fitted in one pass over the table.
     """
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
-    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
-    values = values.filter(F.col("value").isNotNull()).distinct()
+    values = df.select(*[F.col(c).cast("string") for c in columns]).unpivot([], list(columns), "column", "value")
+    # Stored, the table is scanned once for ranking and fitting together.
+    values = materialize(values.filter(F.col("value").isNotNull()).distinct(), "labels")
     ranked = row_numbers(values, ["column"], ["value"], "code", rows_per_range)
     return ranked.select("column", "value", (F.col("code") - 1).cast("int").alias("code"))
 

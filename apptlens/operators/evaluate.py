@@ -16,6 +16,7 @@ from apptlens.functions.cleaning import round_n, safe_ratio
 from apptlens.functions.text import as_multiple, as_percent, as_range
 from apptlens.functions.tiers import EARLY_EDGES, STUDY_EDGES, Band, bands
 from apptlens.operators.prefix import ROWS_PER_RANGE, percentiles, running_totals, scalars
+from apptlens.session import materialize
 
 # Thresholds of the capture table.
 CAPTURE_THRESHOLDS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.50, 0.55, 0.60, 0.70)
@@ -29,6 +30,8 @@ def score_totals(
     counts = scored.groupBy(*by, F.col(p).alias("score")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
+    # Ranking reads the counts more than once; stored, the rows are scanned once.
+    counts = materialize(counts, "scores")
     out = running_totals(
         counts, by, [-F.col("score")], {"__tp": F.col("pos"), "__fp": F.col("neg")}, rows_per_range
     )
@@ -37,9 +40,9 @@ def score_totals(
     )
 
 
-def _with_class_sizes(totals: DataFrame, scored: DataFrame) -> DataFrame:
-    sizes = scored.agg(F.count_if(F.col("y") == 1).alias("__p"), F.count_if(F.col("y") == 0).alias("__n"))
-    return scalars(totals, sizes)
+def _with_class_sizes(totals: DataFrame) -> DataFrame:
+    """Positives and negatives in all: the last point of the running counts."""
+    return scalars(totals, totals.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n")))
 
 
 def _auc() -> Column:
@@ -56,7 +59,7 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = (), p: str = "p", rows_per_ra
 
 def roc_curve(scored: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """False and true positive rate at every distinct score, from (0, 0)."""
-    points = _with_class_sizes(score_totals(scored, rows_per_range=rows_per_range), scored)
+    points = _with_class_sizes(score_totals(scored, rows_per_range=rows_per_range))
     points = points.select(
         F.col("score").alias("threshold"),
         safe_ratio(F.col("fp"), F.col("__n"), None).alias("fpr"),
@@ -75,7 +78,7 @@ def average_precision(scored: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -
 
 def pr_points(scored: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Precision, recall and F1 at every distinct score."""
-    points = _with_class_sizes(score_totals(scored, rows_per_range=rows_per_range), scored)
+    points = _with_class_sizes(score_totals(scored, rows_per_range=rows_per_range))
     points = points.select(
         F.col("score").alias("threshold"),
         safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apptlens.session import materialize
+
 # Rows one task should sort at most, and how finely hot keys may be cut.
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 16_384
@@ -216,13 +218,18 @@ def percentiles(
     group is ever held in one task. Adds ``n``, the non-null row count.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v"))
-    counts = counts.agg(F.count("*").alias("__n"))
-    ranked = running_totals(counts, keys, ["__v"], {"__before": F.col("__n")}, rows_per_range)
-    size = counts.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("__distinct"))
-    if keys:
-        ranked = lookup(ranked, size, keys, "__distinct")
+    # Several steps read the counts; stored, they are computed once.
+    counts = materialize(counts.agg(F.count("*").alias("__n")), "counts")
+    n_rows = counts.count()
+    if n_rows <= rows_per_range:
+        all_of_key = Window.partitionBy(*keys)
+        earlier = all_of_key.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+        ranked = counts.select("*", before.alias("__before"), F.sum("__n").over(all_of_key).alias("n"))
     else:
-        ranked = scalars(ranked, size)
+        ranked = running_totals(counts, keys, ["__v"], {"__before": F.col("__n")}, rows_per_range, n_rows)
+        size = counts.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("__distinct"))
+        ranked = lookup(ranked, size, keys, "__distinct") if keys else scalars(ranked, size)
     picks = []
     for i, q in enumerate(points.values()):
         place = (F.col("n") - 1) * F.lit(float(q))

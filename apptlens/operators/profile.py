@@ -67,8 +67,7 @@ def value_counts(df: DataFrame, column: str, by_key: bool = False) -> DataFrame:
 
 
 def _long(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value")) for c in columns]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
+    return df.select(*[F.col(c).cast(as_type) for c in columns]).unpivot([], list(columns), "column", "value")
 
 
 def profile_categorical(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:

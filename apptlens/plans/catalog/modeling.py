@@ -25,7 +25,7 @@ def fitted(spark: SparkSession, d: str) -> training.Trained:
     """One training run per session and data folder, shared by the queries below."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = training.train_risk_model(star.raw_history(spark, d), _QUICK)
+        _FITTED[key] = training.train_risk_model(star.raw_history(spark, d, heavy=True), _QUICK)
     return _FITTED[key]
 
 
@@ -131,7 +131,7 @@ _SEASON = """CASE WHEN month(appointment_date) IN (12, 1, 2) THEN 'Winter' WHEN
 def _(spark, d):
     from apptlens.functions.temporal import season_bucket
 
-    a = star.appointments(spark, d)
+    a = star.appointments(spark, d, heavy=True)
     past = a.filter("status <> 'Scheduled'")
     fit_on = past.select(*[F.col(s).alias(n) for n, s in _CATEGORY_SOURCE.items()], season_bucket(F.col("appointment_date")).alias("SEASON_BUCKET"))
     encoders = materialize(encode.label_encode_fit(fit_on, CATEGORY_FEATURES), "encoders")
@@ -198,7 +198,7 @@ def _(spark, d):
 def _(spark, d):
     """Every scheduled appointment scored against the history of resolved ones."""
     trained = fitted(spark, d)
-    a = star.appointments(spark, d)
+    a = star.appointments(spark, d, heavy=True)
     scored = scoring.score_bookings(a.filter("status = 'Scheduled'"), a.filter("status <> 'Scheduled'"), trained.model, trained.encoders)
     return scored.select("id", "predicted_risk_prob", "risk_level")
 

@@ -100,7 +100,7 @@ _CONTRIBS = """contribs AS (SELECT id, 'f' || CAST(k AS VARCHAR) AS feature, ((i
 
 def contributions(spark, d):
     """Contributions from a known formula: five per appointment."""
-    a = star.appointments(spark, d, "id")
+    a = star.appointments(spark, d, "id", heavy=True)
     number = F.pmod("id", F.lit(1000003))
     values = F.array(*[((number * 31 + k * 17) % 101 - 50).cast("double") for k in range(1, 6)])
     return a.select("id", explain.named_values([f"f{k}" for k in range(1, 6)], values).alias("contribs"))
@@ -150,7 +150,7 @@ _VALUE_INPUTS = ["AGE", "APPT_DOW", "PATIENT_NOSHOW_RATE", "SEX", "LANGUAGE"]
 
 
 def _with_inputs(spark, d):
-    a = star.appointments(spark, d, "id", "age", "appointment_date", "predicted_risk_prob", "sex", "language")
+    a = star.appointments(spark, d, "id", "age", "appointment_date", "predicted_risk_prob", "sex", "language", heavy=True)
     number = F.pmod("id", F.lit(1000003))
     values = F.array(*[((number * 31 + k * 17) % 101 - 50).cast("double") for k in range(1, 6)])
     rows = a.select(

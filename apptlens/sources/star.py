@@ -133,12 +133,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derive(spark: SparkSession, sf_dir: str, catalog: dict, columns: Sequence[str]) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for heavy work per row on a scan with few splits.
+
+    A small table is often one row group and so one task. A scan with at least
+    one split per core, as of any large table, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def _derive(spark: SparkSession, sf_dir: str, catalog: dict, columns: Sequence[str], heavy: bool) -> DataFrame:
     needed: set[str] = set()
     for column in columns:
         for name in catalog[column][1]:
             needed.update((name, *_JOINS[name][2]))
     df = table(spark, sf_dir, "lineitem")
+    if heavy:
+        df = spread(df)
     for name, (key, parent_key, _) in _JOINS.items():
         if name in needed:
             right = table(spark, sf_dir, name)
@@ -146,14 +158,14 @@ def _derive(spark: SparkSession, sf_dir: str, catalog: dict, columns: Sequence[s
     return df.select(*[F.expr(catalog[c][0]).alias(c) for c in columns])
 
 
-def appointments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def appointments(spark: SparkSession, sf_dir: str, *columns: str, heavy: bool = False) -> DataFrame:
     """The operational table, or the named columns of it."""
-    return _derive(spark, sf_dir, _APPOINTMENT_COLUMNS, columns or tuple(_APPOINTMENT_COLUMNS))
+    return _derive(spark, sf_dir, _APPOINTMENT_COLUMNS, columns or tuple(_APPOINTMENT_COLUMNS), heavy)
 
 
-def raw_history(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def raw_history(spark: SparkSession, sf_dir: str, *columns: str, heavy: bool = False) -> DataFrame:
     """The raw training history, or the named columns of it."""
-    return _derive(spark, sf_dir, _RAW_COLUMNS, columns or tuple(_RAW_COLUMNS))
+    return _derive(spark, sf_dir, _RAW_COLUMNS, columns or tuple(_RAW_COLUMNS), heavy)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
