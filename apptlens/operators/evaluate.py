@@ -331,7 +331,7 @@ def band_counts(scored: DataFrame, items: Sequence[Band]) -> DataFrame:
         rows, "tier_order int, risk_level string, lo double, hi double, action string"
     )
     out = skeleton.join(counts, "tier_order", "left").fillna(0, subset=["n", "pos"])
-    return scalars(out, scored.agg(F.count("*").alias("__all"), F.count_if(F.col("y") == 1).alias("__p")))
+    return scalars(out, counts.agg(F.sum("n").alias("__all"), F.sum("pos").alias("__p")))
 
 
 def band_analysis(scored: DataFrame, edges: Sequence[float] = STUDY_EDGES, top: float = 1.001) -> DataFrame:

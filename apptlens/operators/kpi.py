@@ -34,10 +34,10 @@ def kpi_range(df: DataFrame) -> DataFrame:
 
 def tier_distribution(df: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Rows and share per tier, in tier order; empty tiers only on request."""
-    counts = df.groupBy("risk_level").agg(F.count("*").alias("n")).filter(F.col("risk_level").isin(*TIERS))
-    counts = reindex_to_tiers(counts, keep_empty).fillna(0, subset=["n"])
-    counts = scalars(counts, df.agg(F.count_if(F.col("risk_level").isin(*TIERS)).alias("__all")))
-    return counts.select("risk_level", "tier_order", "n", safe_ratio(F.col("n"), F.col("__all")).alias("share")).orderBy(
+    counts = df.filter(F.col("risk_level").isin(*TIERS)).groupBy("risk_level").agg(F.count("*").alias("n"))
+    rows = reindex_to_tiers(counts, keep_empty).fillna(0, subset=["n"])
+    rows = scalars(rows, counts.agg(F.sum("n").alias("__all")))
+    return rows.select("risk_level", "tier_order", "n", safe_ratio(F.col("n"), F.col("__all")).alias("share")).orderBy(
         "tier_order"
     )
 
@@ -62,7 +62,7 @@ def status_breakdown(df: DataFrame) -> DataFrame:
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
     """Rows per key and their share of all rows."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    return scalars(counts, df.agg(F.count("*").alias("__all"))).select(
+    return scalars(counts, counts.agg(F.sum("n").alias("__all"))).select(
         key, "n", safe_ratio(F.col("n"), F.col("__all")).alias("share")
     )
 

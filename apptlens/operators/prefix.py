@@ -43,17 +43,25 @@ def _sampled_cuts(work: DataFrame, n_keys: int, n_order: int, n_rows: int, rows_
     picked = work.select(*key_cols, *order_cols).dropna(subset=order_cols)
     if share < 1.0:
         picked = picked.filter(F.pmod(F.xxhash64(*key_cols, *order_cols), F.lit(_HASH_SPACE)) < int(share * _HASH_SPACE))
+    # Equal points come as one row with a weight, so the sample stays small
+    # even when very many rows tie.
     per_key = defaultdict(list)
-    for row in picked.collect():
-        per_key[tuple(row[:n_keys])].append(tuple(row[n_keys:]))
+    for row in picked.groupBy(*key_cols, *order_cols).count().collect():
+        per_key[tuple(row[:n_keys])].append((tuple(row[n_keys:-1]), row[-1]))
     # Every so many sampled rows of a key is a cut. With a full sample (tiny
     # tables in tests) a range is rows_per_range rows.
     step = SAMPLE_PER_RANGE if share < 1.0 else rows_per_range
     cuts = {}
-    for key, rows in per_key.items():
-        if len(rows) > step:
-            rows.sort()
-            cuts[key] = rows[step::step]
+    for key, points in per_key.items():
+        points.sort()
+        chosen, passed = [], 0
+        for point, weight in points:
+            if passed >= step:
+                chosen.append(point)
+                passed = 0
+            passed += weight
+        if chosen:
+            cuts[key] = chosen
     return cuts
 
 
@@ -99,8 +107,9 @@ def running_totals(
 ) -> DataFrame:
     """Add, per measure, its total over the *earlier* rows of the same key.
 
-    ``order`` is ascending and must identify rows for a repeatable result;
-    negate a number to run from high to low. The first row of a key gets 0.
+    ``order`` is ascending and must identify rows for a repeatable result
+    (rows that tie on it also stay in one task); negate a number to run from
+    high to low. The first row of a key gets 0.
     ``n_rows`` (an upper estimate will do) saves the counting job.
     """
     columns = df.columns

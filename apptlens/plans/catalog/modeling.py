@@ -215,9 +215,10 @@ def _(spark, d):
 
 @query("contrib_batch")
 def _(spark, d):
-    """Contributions of every test row, with the margin they must add up to."""
+    """Contributions of every test row, with their sum and the model's own log-odds."""
     model = fitted(spark, d).model
-    rows = _vectors(spark, d, "test")
-    parts = explain.contrib_batch(rows, model.base, FEATURES, keep=["id"])
+    rows = models.positive_probability(_vectors(spark, d, "test"), model.base, "p_raw")
+    rows = rows.withColumn("log_odds", F.ln(F.col("p_raw") / (1 - F.col("p_raw"))))
+    parts = explain.contrib_batch(rows, model.base, FEATURES, keep=["id", "log_odds"])
     total = F.aggregate("contribs", F.col("bias"), lambda acc, c: acc + c["value"])
-    return parts.select("id", "contribs", "bias", total.alias("margin"))
+    return parts.select("id", "contribs", "bias", total.alias("margin"), "log_odds")

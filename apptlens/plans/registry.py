@@ -17,7 +17,8 @@ _LEAD = "CAST(floor(epoch(appointment_date - booking_date) / 86400.0e0) AS BIGIN
 _BASE = f"""
 base AS (
   SELECT *,
-    (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 1009 + l_suppkey) % 1048576 AS id,
+    (l_orderkey * 8 + l_linenumber) * 1048576
+      + (l_partkey * 1009 + l_suppkey + (CAST(l_shipdate AS DATE) - DATE '1992-01-01') * 131) % 1048576 AS id,
     'P' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS patient_id,
     l_shipdate + to_hours(8 + l_partkey % 10) AS appointment_date,
     o_orderdate + to_hours(o_custkey % 24) AS booking_date,

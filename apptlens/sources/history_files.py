@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from apptlens.operators.prefix import ROWS_PER_RANGE, row_numbers
 from apptlens.schemas import RAW_SCHEMA
 
 # Names of the parts.
@@ -45,10 +47,18 @@ def union_all_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan_head_per_part(parts: Sequence[DataFrame], n: int, order: Sequence[Column | str]) -> DataFrame:
-    """The first n / parts rows of every part in the given order."""
-    per_part = n // len(parts)
-    return union_all_parts([part.orderBy(*order).limit(per_part) for part in parts])
+def scan_head_per_part(
+    parts: Sequence[DataFrame], n: int, order: Sequence[Column | str], rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """The first n / parts rows of every part in the given order.
+
+    Ranked rather than sorted and limited: a limit would pass the heads of
+    all tasks through one.
+    """
+    columns = parts[0].columns
+    stacked = union_all_parts([part.withColumn("__part", F.lit(i)) for i, part in enumerate(parts)])
+    ranked = row_numbers(stacked, ["__part"], order, "__place", rows_per_range)
+    return ranked.filter(F.col("__place") <= n // len(parts)).select(*columns)
 
 
 def write_part(df: DataFrame, path: str) -> None:

@@ -38,7 +38,8 @@ _RAW_STATUS = """case when l_partkey % 101 = 0 then null
 _SCORE = """((l_partkey * 7919 + l_orderkey * 104729) % 800
              + case when l_returnflag = 'R' then 200 else 0 end) / 1000.0D"""
 
-_ID = "(l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 1009 + l_suppkey) % 1048576"
+_ID = """(l_orderkey * 8 + l_linenumber) * 1048576
+         + (l_partkey * 1009 + l_suppkey + datediff(l_shipdate, date'1992-01-01') * 131) % 1048576"""
 _APPT = "l_shipdate + make_dt_interval(0, cast(8 + l_partkey % 10 as int))"
 _BOOK = "o_orderdate + make_dt_interval(0, cast(o_custkey % 24 as int))"
 _PATIENT = "concat('P', lpad(cast(o_custkey as string), 10, '0'))"

@@ -88,6 +88,8 @@ def main() -> None:
         spark__driver__memory="10g",
         spark__ui__showConsoleProgress="false",
     )
+    for setting in os.environ.get("EXTRA_CONF", "").split():
+        spark.conf.set(*setting.split("=", 1))
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     con = connect(sf_dir)
