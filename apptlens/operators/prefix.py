@@ -193,14 +193,17 @@ def lookup(
     hot = groups.filter(F.col(size) >= hot_rows)
     hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__hot"))
     rest = groups.filter(F.col(size) < hot_rows)
-    rest = rest.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.lit(0).alias("__salt_c"), F.struct(*values).alias("__cold"))
+    # Always 0, but not a literal: the optimizer would turn a comparison with a
+    # literal into a filter, and the salt would no longer spread the shuffle.
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__salt_c")
+    rest = rest.select(*[F.col(k).alias(f"__c_{k}") for k in keys], zero, F.struct(*values).alias("__cold"))
     out = df.join(F.broadcast(hot), [F.col(k) == F.col(f"__h_{k}") for k in keys], "left")
     idle = F.col("__hot").isNotNull()
     for k in keys:
         idle = idle | F.col(k).isNull()
     # Rows already answered (or without a key) get a spread-out salt, and so
     # find no partner and no crowded task.
-    out = out.withColumn("__salt", F.when(idle, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("int")).otherwise(0))
+    out = out.withColumn("__salt", F.when(idle, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(4096))).otherwise(0))
     match = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__salt") == F.col("__salt_c")]
     out = out.join(rest, match, "left")
     return out.select(*df.columns, *[F.coalesce(f"__hot.{v}", f"__cold.{v}").alias(v) for v in values])

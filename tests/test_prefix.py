@@ -1,5 +1,6 @@
 """Running totals, lookups and percentiles under skew, against plain windows."""
 
+import re
 import statistics
 
 import pytest
@@ -66,6 +67,17 @@ def test_lookup(skewed, hot_rows):
     assert got.exceptAll(want).count() == 0 and got.count() == 6000
 
 
+def test_lookup_shuffles_on_key_and_salt(spark, skewed):
+    groups = skewed.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = prefix.lookup(skewed, groups, ["k"], "n", 100)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(k#\d+, __salt#\d+L", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("rows_per_range", [10, 10_000])
 def test_percentiles(skewed, rows_per_range):
     got = prefix.percentiles(skewed.filter("k is not null"), ["k"], "t", {"q1": 0.25, "m": 0.5, "hi": 1.0}, rows_per_range)
