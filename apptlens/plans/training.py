@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apptlens.operators import encode, evaluate, models, splits
-from apptlens.operators.prefix import ROWS_PER_RANGE
+from apptlens.operators.prefix import ROWS_PER_RANGE, lookup
 from apptlens.plans.features import add_running_rates, clean_history
 from apptlens.schemas import CATEGORY_FEATURES, FEATURES
 from apptlens.session import materialize
@@ -44,8 +44,9 @@ def three_way_by_patient(rows: DataFrame, patient: str, rows_per_range: int = RO
     inner = splits.split_by_group(rest, patient, splits.hash_order(patient, seed=7), 0.20, rows_per_range)
     calibration = inner.filter("side = 'test'").select(patient, F.lit("calibration").alias("part"))
     parts = outer.filter("side = 'test'").select(patient, F.lit("test").alias("part")).unionByName(calibration)
-    # Adaptive execution splits the join partition of a very frequent patient.
-    return rows.join(parts, patient, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    sizes = rows.groupBy(patient).agg(F.count("*").alias("__rows"))
+    placed = lookup(rows, parts.join(sizes, patient), [patient], "__rows").drop("__rows")
+    return placed.withColumn("part", F.coalesce("part", F.lit("train")))
 
 
 def training_table(raw: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame]:
