@@ -34,7 +34,7 @@ GROUP_ROWS = 50
 # The fence lies this many quartile ranges above the upper quartile, and at
 # least the margin of its ratio (per thousand words, lines or characters).
 RANGES = 3
-MARGINS = {"symbols": 150, "dup_lines": 400, "repeats": 100, "word_length": 8000}
+MARGINS = {"symbols": 150, "dup_lines": 500, "repeats": 200, "word_length": 8000}
 
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
