@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptlens.llm import external_shuffle, quality_thresholds, secret_ownership
+import public_tokenizers
+
+from apptlens.llm import best_fit_packing, external_shuffle, positional_index, quality_thresholds, secret_ownership
 from apptlens.llm.common import table
 
+# The ranks of the vocabulary in byte_bpe_50k.json.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 8
 SHUFFLE_SEED = 20_240_601
 
@@ -20,19 +24,28 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ownership.scan(docs, "doc_id", "text", F.col("source"), F.struct("source", "lang"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_thresholds.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle.shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS, SHUFFLE_SEED)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op6_quality_rules, op9_external_shuffle)
+    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op6_quality_rules, op8_positional_index, op9_external_shuffle)
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_ownership": secret_ownership.ORACLE_SQL,
+    "op8_positional_index": positional_index.ORACLE_SQL,
     "op6_quality_rules": quality_thresholds.ORACLE_SQL,
 }
