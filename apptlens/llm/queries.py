@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from apptlens.llm import best_fit_packing, external_shuffle, positional_index, quality_thresholds, secret_ownership
+from apptlens.llm import best_fit_packing, count_vector_join, external_shuffle, positional_index, quality_thresholds, secret_ownership
 from apptlens.llm.common import table
 
 # The ranks of the vocabulary in byte_bpe_50k.json.
@@ -40,8 +40,12 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle.shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS, SHUFFLE_SEED)
 
 
+def op10_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_vector_join.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op6_quality_rules, op8_positional_index, op9_external_shuffle)
+    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op6_quality_rules, op8_positional_index, op9_external_shuffle, op10_count_vector_join)
 }
 
 ORACLES: dict[str, str] = {
