@@ -39,6 +39,9 @@ PERCENT = 75
 GROUPS = 128
 LEAF = 64
 
+# Nodes to be verified that are sent to the texts; for more, the texts are shuffled.
+BROADCAST_ROWS = 1 << 19
+
 # Shingles counted together, and the count there from which one is reported.
 COUNTED_SHINGLES = 2 << 20
 LEAST_COUNT = 4
@@ -209,11 +212,19 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     w = wanted.select("node", F.struct("doc_id", "text_key").alias("key"))
+    if wanted.count() <= BROADCAST_ROWS:
+        w = F.broadcast(w)
     rows = texts.withColumn("key", F.struct("doc_id", "text_key"))
     found = rows.join(w, rows["key"].eqNullSafe(w["key"])).select("node", "text")
     return materialize(found.mapInArrow(build, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
 
 
+def _named(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates that stand in a pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return materialize(candidates.join(ends, "node", "left_semi"), "wanted-nodes")
+
+
 def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of unconnected nodes of a bucket that the tree over their points allows."""
     ranked = open_rows.withColumn(
@@ -282,9 +293,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     survivors = materialize(_allows(stars.join(b, "b").join(a, "a"), percent), "allowed-pairs")
-    # A node without an allowed pair to a hub may still have one to another
-    # member of a bucket that is left open, so all candidates keep their sets.
-    sets = _sets(texts, candidates)
+    sets = _sets(texts, _named(survivors, candidates))
     edges = materialize(_verified(survivors, sets, percent), "similar-pairs")
     parts = components(edges)
 
@@ -293,7 +302,9 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     rest = rest.withColumn("part", F.coalesce("part", "node"))
     rest = rest.withColumns({"low": F.min("part").over(spread), "high": F.max("part").over(spread)}).filter("low <> high")
     open_rows = rest.select("bucket", "node", "n", "part").join(candidates.select("node", "point"), "node")
-    more = materialize(_verified(_leaf_pairs(open_rows, percent), sets, percent), "similar-pairs")
+    left = materialize(_leaf_pairs(open_rows, percent), "allowed-pairs")
+    new = _named(left, candidates).join(sets.select("node"), "node", "left_anti")
+    more = materialize(_verified(left, sets.unionByName(_sets(texts, new)), percent), "similar-pairs")
     parts = components(parts.unionByName(more))
 
     root = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
