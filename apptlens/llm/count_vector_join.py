@@ -36,8 +36,11 @@ from apptlens.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-GROUPS = 128
+GROUPS = 512
 LEAF = 64
+# Rounds that compare one node of each open bucket with the others, before the
+# tree compares all that are left.
+STAR_ROUNDS = 2
 
 # Nodes to be verified that are sent to the texts; for more, the texts are shuffled.
 BROADCAST_ROWS = 1 << 19
@@ -225,6 +228,13 @@ def _named(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return materialize(candidates.join(ends, "node", "left_semi"), "wanted-nodes")
 
 
+def _without_equal_buckets(shared: DataFrame) -> DataFrame:
+    """One bucket of those with the same nodes, as the shingles of a shared passage have."""
+    marks = [F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]]
+    first = shared.groupBy("bucket").agg(*marks).groupBy("c", "h1", "h2").agg(F.min("bucket").alias("bucket"))
+    return materialize(shared.join(first.select("bucket"), "bucket", "left_semi"), "distinct-buckets")
+
+
 def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of unconnected nodes of a bucket that the tree over their points allows."""
     ranked = open_rows.withColumn(
@@ -278,7 +288,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         .dropDuplicates(["bucket", "node"])
         .select("bucket", "node", "n", "hub")
     )
-    shared = materialize(shared, "shared-shingles")
+    shared = _without_equal_buckets(materialize(shared, "shared-shingles"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     candidates = (
         rows.filter("n > 0")
@@ -291,21 +301,34 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     a = candidates.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
     b = candidates.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
 
-    stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    survivors = materialize(_allows(stars.join(b, "b").join(a, "a"), percent), "allowed-pairs")
-    sets = _sets(texts, _named(survivors, candidates))
-    edges = materialize(_verified(survivors, sets, percent), "similar-pairs")
-    parts = components(edges)
-
-    part_of = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
-    rest = shared.filter("node <> hub").join(part_of, "node", "left")
-    rest = rest.withColumn("part", F.coalesce("part", "node"))
-    rest = rest.withColumns({"low": F.min("part").over(spread), "high": F.max("part").over(spread)}).filter("low <> high")
-    open_rows = rest.select("bucket", "node", "n", "part").join(candidates.select("node", "point"), "node")
-    left = materialize(_leaf_pairs(open_rows, percent), "allowed-pairs")
-    new = _named(left, candidates).join(sets.select("node"), "node", "left_anti")
-    more = materialize(_verified(left, sets.unionByName(_sets(texts, new)), percent), "similar-pairs")
-    parts = components(parts.unionByName(more))
+    sets, tested, parts, open_rows = None, None, None, shared
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            stars = open_rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = _allows(stars.join(b, "b").join(a, "a"), percent)
+        else:
+            pairs = _leaf_pairs(open_rows.join(candidates.select("node", "point"), "node"), percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "allowed-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = _named(pairs, candidates)
+        if sets is not None:
+            new = new.join(sets.select("node"), "node", "left_anti")
+        sets = _sets(texts, new) if sets is None else sets.unionByName(_sets(texts, new))
+        edges = materialize(_verified(pairs, sets, percent), "similar-pairs")
+        parts = components(edges if parts is None else parts.unionByName(edges))
+        if turn == STAR_ROUNDS:
+            break
+        # The hub has been compared with all of its bucket. What stays open are
+        # buckets whose other nodes are not all connected.
+        part_of = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
+        rest = open_rows.filter("node <> hub").select("bucket", "node", "n").join(part_of, "node", "left")
+        rest = rest.withColumn("part", F.coalesce("part", "node"))
+        rest = rest.withColumns({"hub": F.min("node").over(spread), "low": F.min("part").over(spread), "high": F.max("part").over(spread)})
+        open_rows = materialize(rest.filter("low <> high").drop("low", "high"), "open-buckets")
+        if open_rows.isEmpty():
+            break
 
     root = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
     return rows.join(root, "node", "left").select(
