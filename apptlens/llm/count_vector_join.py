@@ -165,7 +165,7 @@ def _nodes(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _allows(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and points allow a link."""
+    """Pairs whose points allow a link."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +176,7 @@ def _allows(pairs: DataFrame, percent: int) -> DataFrame:
             bound = np.minimum(a, b).sum(axis=1, dtype=np.int64)
             yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * total))
 
-    sized = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(keep, "a bigint, b bigint")
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(keep, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,11 +227,34 @@ def _named(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return materialize(candidates.join(ends, "node", "left_semi"), "wanted-nodes")
 
 
-def _without_equal_buckets(shared: DataFrame) -> DataFrame:
+def _similar_size(one: Column, other: Column, percent: int) -> Column:
+    return F.coalesce(F.least(one, other) * 100 >= F.greatest(one, other) * percent, F.lit(False))
+
+
+def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of nodes whose size allows a link to another node of the bucket.
+
+    In order of size, a node with a partner has one beside it.
+    """
+    by_size = Window.partitionBy("bucket").orderBy("n", "node")
+    sides = [F.lag("n").over(by_size), F.lead("n").over(by_size)]
+    return (
+        rows.withColumn("sides", F.array(*sides))
+        .filter(F.exists("sides", lambda m: _similar_size(F.col("n"), m, percent)))
+        .drop("sides")
+    )
+
+
+def _without_equal_buckets(rows: DataFrame) -> DataFrame:
     """One bucket of those with the same nodes, as the shingles of a shared passage have."""
     marks = [F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]]
-    first = shared.groupBy("bucket").agg(*marks).groupBy("c", "h1", "h2").agg(F.min("bucket").alias("bucket"))
-    return materialize(shared.join(first.select("bucket"), "bucket", "left_semi"), "distinct-buckets")
+    first = rows.groupBy("bucket").agg(*marks).groupBy("c", "h1", "h2").agg(F.min("bucket").alias("bucket"))
+    return rows.join(first.select("bucket"), "bucket", "left_semi")
+
+
+def _with_hub(rows: DataFrame) -> DataFrame:
+    """Rows with the first node of their bucket and its size."""
+    return rows.withColumn("hub", F.min(F.struct("node", "n")).over(Window.partitionBy("bucket")))
 
 
 def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
@@ -245,9 +267,12 @@ def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     )
     leaves = materialize(leaves, "point-leaves")
     one, two = (leaves.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("leaf", "rows", "least", "most")]) for k in "12")
-    # Leaves are in order of size.
-    near = (F.col("leaf1") <= F.col("leaf2")) & (F.col("most1") * 100 >= F.col("least2") * percent)
+    # Leaves are in order of size. A leaf is its own partner, without a join.
+    near = (F.col("leaf1") < F.col("leaf2")) & (F.col("most1") * 100 >= F.col("least2") * percent)
+    large = leaves.filter("leaf = 1").select("bucket")
+    one = one.join(large, "bucket", "left_semi")
     joined = one.join(two, "bucket").filter(near).select("rows1", "rows2")
+    joined = joined.unionByName(leaves.select(F.col("rows").alias("rows1"), F.lit(None).cast(leaves.schema["rows"].dataType).alias("rows2")))
 
     def arrays(rows: list[dict]) -> tuple[np.ndarray, ...]:
         points = np.frombuffer(b"".join(r["point"] for r in rows), np.uint16).reshape(-1, GROUPS)
@@ -257,7 +282,7 @@ def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, na, ca, pa_ = arrays(batch.column(0)[i].as_py())
-                b, nb, cb, pb_ = arrays(batch.column(1)[i].as_py())
+                b, nb, cb, pb_ = arrays(batch.column(1)[i].as_py() or batch.column(0)[i].as_py())
                 box = np.minimum(pa_.max(axis=0), pb_.max(axis=0)).sum(dtype=np.int64)
                 if (100 + percent) * box < percent * (na.min() + nb.min()):
                     continue
@@ -282,13 +307,14 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     # Shingles that only one node has among its first are of no use.
     spread = Window.partitionBy("bucket")
     entries = rows.filter(F.col("firsts").isNotNull()).select(F.explode("firsts").alias("bucket"), "node", "n")
-    shared = (
-        entries.withColumns({"hub": F.min("node").over(spread), "last": F.max("node").over(spread)})
-        .filter("hub <> last")
+    several = (
+        entries.withColumns({"least": F.min("node").over(spread), "most": F.max("node").over(spread)})
+        .filter("least <> most")
         .dropDuplicates(["bucket", "node"])
-        .select("bucket", "node", "n", "hub")
+        .select("bucket", "node", "n")
     )
-    shared = _without_equal_buckets(materialize(shared, "shared-shingles"))
+    several = materialize(_with_partner(several, percent), "shared-shingles")
+    shared = materialize(_with_hub(_without_equal_buckets(several)), "distinct-buckets")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     candidates = (
         rows.filter("n > 0")
@@ -298,13 +324,15 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         .select("node", "n", "point", "first.doc_id", "first.text_key")
     )
     candidates = materialize(candidates, "candidate-nodes")
-    a = candidates.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    b = candidates.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    a = candidates.select(F.col("node").alias("a"), F.col("point").alias("pa"))
+    b = candidates.select(F.col("node").alias("b"), F.col("point").alias("pb"))
 
     sets, tested, parts, open_rows = None, None, None, shared
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            stars = open_rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+            stars = open_rows.filter(_similar_size(F.col("n"), F.col("hub.n"), percent) & (F.col("node") > F.col("hub.node")))
+            ends = {"a": "hub.node", "b": "node", "na": "hub.n", "nb": "n"}
+            stars = stars.select(*[F.col(c).alias(k) for k, c in ends.items()]).distinct()
             pairs = _allows(stars.join(b, "b").join(a, "a"), percent)
         else:
             pairs = _leaf_pairs(open_rows.join(candidates.select("node", "point"), "node"), percent)
@@ -323,10 +351,10 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         # The hub has been compared with all of its bucket. What stays open are
         # buckets whose other nodes are not all connected.
         part_of = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
-        rest = open_rows.filter("node <> hub").select("bucket", "node", "n").join(part_of, "node", "left")
-        rest = rest.withColumn("part", F.coalesce("part", "node"))
-        rest = rest.withColumns({"hub": F.min("node").over(spread), "low": F.min("part").over(spread), "high": F.max("part").over(spread)})
-        open_rows = materialize(rest.filter("low <> high").drop("low", "high"), "open-buckets")
+        rest = open_rows.filter(F.col("node") != F.col("hub.node")).select("bucket", "node", "n").join(part_of, "node", "left")
+        rest = _with_partner(rest.withColumn("part", F.coalesce("part", "node")), percent)
+        rest = rest.withColumns({"low": F.min("part").over(spread), "high": F.max("part").over(spread)}).filter("low <> high")
+        open_rows = materialize(_with_hub(rest.drop("low", "high")), "open-buckets")
         if open_rows.isEmpty():
             break
 
