@@ -36,7 +36,7 @@ from apptlens.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-GROUPS = 512
+GROUPS = 256
 LEAF = 64
 # Rounds that compare one node of each open bucket with the others, before the
 # tree compares all that are left.
@@ -47,7 +47,7 @@ BROADCAST_ROWS = 1 << 19
 
 # Shingles counted together, and the count there from which one is reported.
 COUNTED_SHINGLES = 2 << 20
-LEAST_COUNT = 4
+LEAST_COUNT = 3
 # Frequent shingles whose order is lowered, the most frequent first. More of
 # them would only save work.
 FREQUENT_SHINGLES = 1 << 18
