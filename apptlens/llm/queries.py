@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from apptlens.llm import best_fit_packing, count_vector_join, external_shuffle, positional_index, quality_thresholds, secret_ownership
+from apptlens.llm import best_fit_packing, count_vector_join, external_shuffle, line_deletions, positional_index, quality_thresholds, secret_ownership
 from apptlens.llm.common import table
 
 # The ranks of the vocabulary in byte_bpe_50k.json.
@@ -28,6 +28,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_line_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_deletions.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_thresholds.verdicts(table(spark, sf_dir, "documents"))
 
@@ -45,11 +49,12 @@ def op10_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op6_quality_rules, op8_positional_index, op9_external_shuffle, op10_count_vector_join)
+    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op5_line_deletions, op6_quality_rules, op8_positional_index, op9_external_shuffle, op10_count_vector_join)
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_ownership": secret_ownership.ORACLE_SQL,
+    "op5_line_deletions": line_deletions.ORACLE_SQL,
     "op8_positional_index": positional_index.ORACLE_SQL,
     "op6_quality_rules": quality_thresholds.ORACLE_SQL,
 }
