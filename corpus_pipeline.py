@@ -10,9 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apptlens.llm import quality_thresholds
+import public_tokenizers
+
+from apptlens.llm import best_fit_packing, count_vector_join, line_deletions, positional_index, quality_thresholds
 from apptlens.session import materialize
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,7 +25,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_thresholds.filter_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, or all but one word of it, go; so do documents left without a word."""
+    return line_deletions.dedupe_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return count_vector_join.distinct_documents(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return positional_index.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in token sequences."""
+    return best_fit_packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
 
 # Packing by tokens and similarity joins are not expressible in SQL.
 ORACLE_SQL: str | None = None
