@@ -12,9 +12,9 @@ line can lie within one edit of it; only these emit variants. Lines of fewer
 than ``EDIT_WORDS`` words are compared exactly.
 
 Defined cases: null text has no lines and stays null; lines without a word stay
-as they are; rows that agree in id and text are one document, whose lines do
-not remove each other; a null id comes after all others; an empty table gives
-an empty result; other columns are returned as they are.
+as they are; rows that share an id are one document, whose lines at one place
+do not remove each other; a null id comes after all others; an empty table
+gives an empty result; other columns are returned as they are.
 """
 
 from __future__ import annotations
@@ -35,24 +35,21 @@ def _split(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Every line with a word: its key, its place in the corpus order, its words' hashes."""
+    """Every line with a word: its key, its place in the corpus order, the document's text key."""
     body = F.col(f"`{text}`")
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
+    order = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
     return (
-        docs.select(
-            F.col(f"`{doc_id}`").alias("doc_id"),
-            F.xxhash64(known(body)).alias("text_key"),
-            F.posexplode(_split(body)).alias("line_no", "line"),
-        )
+        docs.select(order.alias("doc"), F.xxhash64(known(body)).alias("text_key"), F.posexplode(_split(body)).alias("line_no", "line"))
         .filter(F.col("line").rlike(WORD))
-        .select(
-            F.xxhash64("line").alias("line_key"),
-            at.alias("at"),
-            F.transform(F.filter(F.split("line", SPACE, -1), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w"),
-        )
+        .select(F.xxhash64("line").alias("line_key"), F.struct("doc", "line_no").alias("at"), "text_key", "line")
     )
 
 
+def _hashed_words() -> Column:
+    words = F.filter(F.split("line", SPACE, -1), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w)).alias("w")
+
+
 def _halves() -> Column:
     """Keys of the halves of which lines within one word edit share one.
 
@@ -86,41 +83,44 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
 
     ``first`` has a row per distinct line: key, earliest place, halves.
     """
-    keys = first.filter("halves is not null").select("line_key", "at", F.explode("halves").alias("half"))
+    keys = first.filter("halves is not null").select("line_key", F.explode("halves").alias("half"))
     shared = (
         keys.groupBy("half")
         .agg(F.min("line_key").alias("low"), F.max("line_key").alias("high"))
         .filter("low <> high")
         .select("half")
     )
-    close = materialize(keys.join(shared, "half", "left_semi").select("line_key", "at").distinct(), "close-lines")
-    if close.count() <= BROADCAST_ROWS:
-        close = F.broadcast(close)
+    near_keys = keys.join(shared, "half", "left_semi").select("line_key").distinct()
+    close = materialize(first.select("line_key", "at").join(near_keys, "line_key", "left_semi"), "close-lines")
+    few = F.broadcast(close) if close.count() <= BROADCAST_ROWS else close
     variants = (
-        lines.join(close, ["line_key", "at"], "left_semi")
+        lines.join(few, ["line_key", "at"], "left_semi")
         .dropDuplicates(["line_key"])
-        .select("line_key", "at", F.explode(_variants()).alias("v"))
-        .select("line_key", "at", "v.place", "v.variant")
+        .select("line_key", _hashed_words())
+        .select("line_key", F.explode(_variants()).alias("v"))
+        .select("line_key", "v.place", "v.variant")
     )
+    variants = materialize(variants, "line-variants")
+    several = variants.groupBy("variant").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high"))
+    several = several.filter("low <> high").select("variant")
+    equal = materialize(variants.join(several, "variant", "left_semi").join(close, "line_key"), "equal-variants")
     # Equal variants: same place is a substitution, whole against shortened an
     # insertion. The earliest of each kind decides, combined before the shuffle.
-    variants = materialize(variants, "line-variants")
-    least = variants.groupBy("variant", "place").agg(F.min("at").alias("at"))
-    groups = least.groupBy("variant").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "at"))).alias("by_place"),
+    least = equal.groupBy("variant", "place").agg(F.min("at").alias("least"))
+    kinds = equal.groupBy("variant").agg(
         F.min(F.when(F.col("place") == 0, F.col("at"))).alias("whole"),
         F.min(F.when(F.col("place") > 0, F.col("at"))).alias("shortened"),
     )
-    earlier = F.when(F.col("place") == 0, F.col("shortened")).otherwise(
-        F.least(F.col("whole"), F.try_element_at("by_place", "place"))
-    )
-    return variants.join(groups, "variant").filter(earlier < F.col("at")).select("line_key").distinct()
+    earlier = F.when(F.col("place") == 0, F.col("shortened")).otherwise(F.least("whole", "least"))
+    judged = equal.join(least, ["variant", "place"]).join(kinds, "variant")
+    return judged.filter(earlier < F.col("at")).select("line_key").distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with such lines: the numbers of the lines that go."""
     lines = line_table(docs, doc_id, text)
-    places = materialize(lines.select("line_key", "at", _halves().alias("halves")), "lines")
+    places = lines.select("line_key", "at", "text_key", _hashed_words())
+    places = materialize(places.select("line_key", "at", "text_key", _halves().alias("halves")), "lines")
     first = places.groupBy("line_key").agg(
         F.min("at").alias("at"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")
     )
@@ -128,10 +128,10 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     near = near_lines(lines, first).withColumn("near", F.lit(True))
     verdict = first.select("line_key", F.col("at").alias("first_at"), "n").join(near, "line_key", "left").filter("n > 1 OR near")
     return (
-        places.select("line_key", "at")
+        places.select("line_key", "at", "text_key")
         .join(verdict, "line_key")
         .filter(F.col("near").isNotNull() | (F.col("at") > F.col("first_at")))
-        .groupBy(F.struct("at.doc_id", "at.text_key").alias("key"))
+        .groupBy(F.struct("at.doc", "text_key").alias("key"))
         .agg(F.collect_set("at.line_no").alias("gone"))
     )
 
@@ -140,7 +140,8 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """All rows with their columns, the text without the lines that go, and ``__l_gone``, their number."""
     body = F.col(f"`{text}`")
     gone = materialize(removed_lines(docs, doc_id, text), "removed-lines").withColumnRenamed("key", "__l_key")
-    mine = F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(known(body)).alias("text_key"))
+    order = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
+    mine = F.struct(order.alias("doc"), F.xxhash64(known(body)).alias("text_key"))
     rows = docs.withColumn("__l_mine", mine).join(gone, F.col("__l_mine").eqNullSafe(F.col("__l_key")), "left")
     left = F.array_join(F.filter(_split(body), lambda line, i: ~F.array_contains("gone", i)), "\n")
     columns = [F.col(f"`{c}`") for c in docs.columns if c != text]
