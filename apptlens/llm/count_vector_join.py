@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from apptlens.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-GROUPS = 256
+GROUPS = 512
 LEAF = 64
 # Rounds that compare one node of each open bucket with the others, before the
 # tree compares all that are left.
@@ -83,9 +84,34 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each group."""
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).clip(max=65535).astype(np.uint16)
+def point(s: np.ndarray) -> bytes:
+    """How many shingles fall into each group, compressed: small counts take a few bits each."""
+    counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).clip(max=65535).astype("<u2")
+    planes = counts.view(np.uint8).reshape(-1, 2).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def points(packed: list[bytes]) -> np.ndarray:
+    """The points, one per row."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    planes = np.frombuffer(b"".join(map(unpack, packed)), np.uint8).reshape(-1, 2, GROUPS)
+    return planes[:, 0].astype(np.uint16) + (planes[:, 1].astype(np.uint16) << np.uint16(8))
+
+
+# Sets travel as the low bytes of their hashes: 48 bits of each tell the
+# shingles of two documents apart.
+_KEPT = 6
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    low = np.sort(s & np.uint64((1 << 8 * _KEPT) - 1)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // _KEPT, 8), dtype=np.uint8)
+    wide[:, :_KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, _KEPT)
+    return wide.view("<u8").ravel()
 
 
 def _bodies(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
@@ -129,7 +155,7 @@ def _nodes(texts: DataFrame, percent: int) -> DataFrame:
         known_often, place = shared.value
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, firsts, points = [], [], [], []
+            sizes, names, firsts, packed = [], [], [], []
             for body in _bodies(batch, 2):
                 s = shingles(body)
                 name = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
@@ -137,7 +163,7 @@ def _nodes(texts: DataFrame, percent: int) -> DataFrame:
                 names.append(name)
                 if not len(s) or name in seen:
                     firsts.append(None)
-                    points.append(None)
+                    packed.append(None)
                     continue
                 seen.add(name)
                 late = np.zeros(len(s), dtype=np.int64)
@@ -147,7 +173,7 @@ def _nodes(texts: DataFrame, percent: int) -> DataFrame:
                     late = np.where(known_often[k] == s, place[k], 0)
                 first = s[np.argsort(late, kind="stable")[: len(s) - needed(len(s), percent) + 1]]
                 firsts.append(first.view(np.int64))
-                points.append(point(s).tobytes())
+                packed.append(point(s))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -155,7 +181,7 @@ def _nodes(texts: DataFrame, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
                     pa.array(firsts, pa.list_(pa.int64())),
-                    pa.array(points, pa.binary()),
+                    pa.array(packed, pa.binary()),
                 ],
                 ["doc_id", "text_key", "n", "node", "firsts", "point"],
             )
@@ -171,7 +197,7 @@ def _allows(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in (4, 5))
+            a, b = (points(batch.column(c).to_pylist()) for c in (4, 5))
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             bound = np.minimum(a, b).sum(axis=1, dtype=np.int64)
             yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * total))
@@ -188,8 +214,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_buffer()
                 if last is None or not raw.equals(last):
-                    last, a = raw, np.frombuffer(raw, np.uint64)
-                b = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                    last, a = raw, unpack_set(raw)
+                b = unpack_set(batch.column(3)[i].as_buffer())
                 small, big = (a, b) if len(a) <= len(b) else (b, a)
                 k = np.searchsorted(big, small)
                 k[k == len(big)] = 0
@@ -209,7 +235,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingles(x).tobytes() for x in _bodies(batch, 1)], pa.binary())],
+                [batch.column(0), pa.array([pack_set(shingles(x)) for x in _bodies(batch, 1)], pa.binary())],
                 ["node", "shingles"],
             )
 
@@ -275,8 +301,7 @@ def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     joined = joined.unionByName(leaves.select(F.col("rows").alias("rows1"), F.lit(None).cast(leaves.schema["rows"].dataType).alias("rows2")))
 
     def arrays(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        points = np.frombuffer(b"".join(r["point"] for r in rows), np.uint16).reshape(-1, GROUPS)
-        return (*(np.array([r[c] for r in rows], dtype=np.int64) for c in ("node", "n", "part")), points)
+        return (*(np.array([r[c] for r in rows], dtype=np.int64) for c in ("node", "n", "part")), points([r["point"] for r in rows]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
