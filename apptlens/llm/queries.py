@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from apptlens.llm import best_fit_packing, count_vector_join, external_shuffle, line_deletions, positional_index, quality_thresholds, secret_ownership
+from apptlens.llm import best_fit_packing, compact_windows, count_vector_join, external_shuffle, html_wrappers, line_deletions, positional_index, quality_thresholds, secret_ownership, surrogates
 from apptlens.llm.common import table
 
 # The ranks of the vocabulary in byte_bpe_50k.json.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# For tests; a real corpus needs a secret key.
+SURROGATE_KEY = b"registered query"
 SHARDS = 8
 SHUFFLE_SEED = 20_240_601
 
@@ -24,6 +26,14 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ownership.scan(docs, "doc_id", "text", F.col("source"), F.struct("source", "lang"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -36,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_thresholds.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +63,7 @@ def op10_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_best_fit_packing, op5_line_deletions, op6_quality_rules, op8_positional_index, op9_external_shuffle, op10_count_vector_join)
+    f.__name__: f for f in (op1_secret_ownership, op2_surrogates, op3_compact_windows, op4_best_fit_packing, op5_line_deletions, op6_quality_rules, op7_html_wrappers, op8_positional_index, op9_external_shuffle, op10_count_vector_join)
 }
 
 ORACLES: dict[str, str] = {
