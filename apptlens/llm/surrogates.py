@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,7 +55,13 @@ ATTEMPTS = 20
 MOST_EXCEPTIONS = 1 << 19
 
 _ALL = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-_HINT = regex.compile(r"[@\d]|\b(?:M|H|S|F|D|P)\p{L}{1,7}\.?\ \p{Lu}")
+_DIGIT = re.compile(r"[@\d]")
+_TITLES = [t + end for t in sorted({*MALE, *FEMALE, "Dr", "Prof"}) for end in (" ", ". ")]
+
+
+def _worth_reading(text: str) -> bool:
+    """Whether a text can hold an entity at all: a cheap look."""
+    return _DIGIT.search(text) is not None or any(t in text for t in _TITLES)
 
 
 def _luhn_sum(digits: str) -> int:
@@ -72,16 +79,19 @@ def normal(kind: str, text: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities of a text, without overlaps."""
-    if not _HINT.search(text):
-        return []
-    out = []
-    for m in _ALL.finditer(text):
-        kind = next(k for k in KINDS if m[k] is not None)
-        start, end, gender = m.start(), m.end(), ""
-        if kind == "name":
-            start, end = m.span("who")
-            gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
-        out.append((start, end, kind, gender))
+    out, offset = [], 0
+    if not _worth_reading(text):
+        return out
+    # No entity goes beyond its line.
+    for line in text.split("\n"):
+        for m in _ALL.finditer(line) if _worth_reading(line) else ():
+            kind = next(k for k in KINDS if m[k] is not None)
+            start, end, gender = m.start(), m.end(), ""
+            if kind == "name":
+                start, end = m.span("who")
+                gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
+            out.append((offset + start, offset + end, kind, gender))
+        offset += len(line) + 1
     return out
 
 
