@@ -403,16 +403,17 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Rows that agree in id and text are one document.
     """
-    rows = materialize(linked(docs, doc_id, text), "linked-documents")
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    kept = (
-        rows.filter("root is not null")
-        .groupBy("root")
-        .agg(F.min(key).alias("k"))
-        .select("k.doc_id", "k.text_key")
-        .unionByName(rows.filter("root is null").select("doc_id", "text_key").distinct())
-        .select(F.struct("doc_id", "text_key").alias("__kept"))
-    )
+    rows = linked(docs, doc_id, text).withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    rows = materialize(rows, "linked-documents")
+    kept = rows.filter("root is not null").groupBy("root").agg(F.min("key").alias("kept"))
+    dropped = rows.join(kept, "root").filter("key <> kept").select(F.struct("doc_id", "text_key").alias("__dropped")).distinct()
+    dropped = materialize(dropped, "dropped-documents")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     mine: Column = F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(known(f"`{text}`")).alias("text_key"))
-    rows = docs.withColumn("__key", mine)
-    return rows.join(kept, F.col("__key").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    left = docs.withColumn("__key", mine)
+    left = left.join(dropped, F.col("__key").eqNullSafe(F.col("__dropped")), "left_anti")
+    # Texts are shuffled only if there are repeated rows.
+    if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["__key"])
+    return left.drop("__key")

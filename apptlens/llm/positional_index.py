@@ -33,6 +33,8 @@ from apptlens.session import materialize
 WINDOW = 10
 SEGMENT_BYTES = 24 << 20
 BLOCK_BYTES = 16 << 20
+# Contaminated documents whose ids are sent to the texts; for more, both are shuffled.
+BROADCAST_ROWS = 1 << 20
 
 # Words are runs of digits, lower-case letters and all that is not ASCII.
 _PLAIN = bytes(
@@ -289,6 +291,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     Rows that share an id are kept or dropped together.
     """
     hit = matches(docs, items, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("__p_id")).distinct()
+    hit = materialize(hit, "contaminated-documents")
+    if hit.count() <= BROADCAST_ROWS:
+        hit = F.broadcast(hit)
     return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__p_id")), "left_anti")
 
 

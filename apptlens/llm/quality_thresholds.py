@@ -36,6 +36,9 @@ GROUP_ROWS = 50
 RANGES = 3
 MARGINS = {"symbols": 150, "dup_lines": 500, "repeats": 200, "word_length": 8000}
 
+# Cutoffs that are sent to the documents; for more groups, both are shuffled.
+BROADCAST_GROUPS = 1 << 18
+
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -161,9 +164,11 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     )
 
 
-def judged(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Rows with their counts, ``__q_base_failed`` and ``__q_kept``."""
-    cut = thresholds(sketch(stats, lang, source))
+def judged(stats: DataFrame, counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Rows with their counts, ``__q_base_failed`` and ``__q_kept``, by the cutoffs of the rows in ``counted``."""
+    cut = materialize(thresholds(sketch(counted, lang, source)), "quality-cutoffs")
+    if cut.count() <= BROADCAST_GROUPS:
+        cut = F.broadcast(cut)
     same = F.col(f"`{lang}`").eqNullSafe(F.col("__t_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("__t_source"))
     below = F.lit(True)
     for name, value in ratios().items():
@@ -177,7 +182,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
     rows = docs.select("doc_id", "text", "lang", "source")
     stats = materialize(with_stats(rows).drop("text"), "quality-counts")
-    return judged(stats).select(
+    return judged(stats, stats).select(
         "doc_id",
         *[F.col(f"__q_{c}").alias(c) for c in _STATS[:5]],
         F.col("__q_base_failed").alias("base_failed"),
@@ -187,8 +192,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns."""
-    stats = materialize(with_stats(docs, text), "quality-counts")
-    return judged(stats, lang, source).filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Counting twice costs less than a stored copy of all texts.
+    stats = with_stats(docs, text)
+    counts = [F.col(f"`{c}`") for c in (lang, source)] + [F.col(f"__q_{c}") for c in _STATS]
+    counted = materialize(stats.select(*counts), "quality-counts")
+    return judged(stats, counted, lang, source).filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _BUCKET = "(v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0)"
