@@ -192,11 +192,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns."""
-    # Counting twice costs less than a stored copy of all texts.
-    stats = with_stats(docs, text)
-    counts = [F.col(f"`{c}`") for c in (lang, source)] + [F.col(f"__q_{c}") for c in _STATS]
-    counted = materialize(stats.select(*counts), "quality-counts")
-    return judged(stats, counted, lang, source).filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Stored with the texts: the optimizer would otherwise repeat the counting in every reference.
+    stats = materialize(with_stats(docs, text), "quality-counts")
+    return judged(stats, stats, lang, source).filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _BUCKET = "(v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0)"
