@@ -12,8 +12,9 @@ hold most text outside menus, notices and the like. Each page's text is then
 read below that element; pages that do not have it use their own best.
 
 Defined cases: null or empty html gives empty text; a null or malformed address
-is a host of its own; broken markup is read as far as it goes; repeated rows
-give repeated results; an empty table gives an empty result; other columns are
+is a host of its own; broken markup is read as far as it goes; very deep or wide
+markup is described coarsely in the wrapper and read whole; repeated rows give
+repeated results; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -177,22 +178,64 @@ def blocks(node: Node) -> list[str]:
 # flags: 1 optional, 2 repeated, 4 skipped.
 OPTIONAL, REPEATED, SKIPPED = 1, 2, 4
 SLOT = "*"
+# A wrapper describes elements to this depth; the text of deeper ones counts there.
+DEPTH = 96
+# Neighbours that a wrapper tells apart below one element. Beyond, one group per
+# kind is kept, and of more kinds than that the lightest share one entry.
+CHILDREN = 128
+REST = "rest"
+
+
+def _weight(w: list) -> int:
+    """Characters of text in a wrapper that are not skipped."""
+    return 0 if w[1] & SKIPPED else w[2] + sum(map(_weight, w[4]))
+
+
+def _text_below(node: Node) -> int:
+    n, todo = 0, [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            n += len(item.strip())
+        elif not item.skipped or item is node:
+            todo += item.children
+    return n
+
+
+def _folded(children: list) -> list:
+    """Children of bounded number; no text is left out of the weights."""
+    if len(children) <= CHILDREN:
+        return children
+    kinds: dict[str, list] = {}
+    for w in children:
+        if w[0] in kinds:
+            kinds[w[0]] = merge(kinds[w[0]], w)
+            kinds[w[0]][1] |= REPEATED
+        else:
+            kinds[w[0]] = w
+    if len(kinds) <= CHILDREN:
+        return list(kinds.values())
+    light = sorted(kinds, key=lambda k: (k != REST, _weight(kinds[k]), k))[: len(kinds) - CHILDREN + 1]
+    rest = [REST, OPTIONAL | REPEATED, sum(_weight(kinds[k]) for k in light), SLOT, []]
+    return [*(w for k, w in kinds.items() if k not in set(light)), rest]
 
 
-def page_wrapper(node: Node) -> list:
+def page_wrapper(node: Node, depth: int = DEPTH) -> list:
     """The wrapper of a single page: its tree, with neighbours of one kind merged."""
+    if not depth:
+        return [node.key, SKIPPED * node.skipped, _text_below(node), SLOT, []]
     own = " ".join(c.strip() for c in node.children if isinstance(c, str) and c.strip())
     children: list = []
     for child in node.children:
         if isinstance(child, str) or child.tag in VOID:
             continue
-        w = page_wrapper(child)
+        w = page_wrapper(child, depth - 1)
         if children and children[-1][0] == w[0]:
             children[-1] = merge(children[-1], w)
             children[-1][1] |= REPEATED
         else:
             children.append(w)
-    return [node.key, SKIPPED * node.skipped, len(own), own[:80] or None, children]
+    return [node.key, SKIPPED * node.skipped, len(own), own[:80] or None, _folded(children)]
 
 
 def merge(a: list, b: list) -> list:
@@ -222,7 +265,7 @@ def merge(a: list, b: list) -> list:
             out[-1] = one
         else:
             out.append(one)
-    return [a[0], a[1] | b[1], a[2] + b[2], text, out]
+    return [a[0], a[1] | b[1], a[2] + b[2], text, _folded(out)]
 
 
 def content_path(wrapper: list) -> list[str]:
@@ -232,23 +275,20 @@ def content_path(wrapper: list) -> list[str]:
     holds most of the text that is not skipped.
     """
 
-    def weight(w: list) -> int:
-        return 0 if w[1] & SKIPPED else w[2] + sum(map(weight, w[4]))
-
     def named(w: list, path: list[str]) -> list[tuple[int, list[str]]]:
         if w[1] & SKIPPED:
             return []
         here = [*path, w[0]]
-        mine = [(weight(w), here)] if w[0].split(".")[0] in CONTENT else []
+        mine = [(_weight(w), here)] if w[0].split(".")[0] in CONTENT else []
         return mine + [x for c in w[4] for x in named(c, here)]
 
     found = named(wrapper, [])
     if found and max(found)[0] > 0:
         return max(found, key=lambda x: x[0])[1]
-    path, node, whole = [wrapper[0]], wrapper, weight(wrapper)
+    path, node, whole = [wrapper[0]], wrapper, _weight(wrapper)
     while True:
-        best = max(node[4], key=weight, default=None)
-        if best is None or weight(best) * 10 < whole * 8 or best[0].split(".")[0] not in BLOCKS or not best[4]:
+        best = max(node[4], key=_weight, default=None)
+        if best is None or _weight(best) * 10 < whole * 8 or best[0].split(".")[0] not in BLOCKS or not best[4]:
             return path
         if best[0].split(".")[0] in ("p", "ul", "ol", "table", "li") or best[1] & REPEATED:
             return path

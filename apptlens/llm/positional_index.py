@@ -51,6 +51,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_PLAIN).split()
 
 
+def _text_key(text: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for a text (its seed is 42)."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _segment(ids: list, texts: list[bytes], vocabulary: dict[bytes, int]) -> dict:
     """One row of the index. Documents lie one position apart, so that no phrase spans two."""
     numbers, lengths = [], []
@@ -69,7 +75,7 @@ def _segment(ids: list, texts: list[bytes], vocabulary: dict[bytes, int]) -> dic
     steps[first] = at[first]
     return {
         "doc_ids": ids,
-        "text_keys": [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts],
+        "text_keys": [_text_key(t) for t in texts],
         "n_words": lengths,
         "terms": terms.astype(np.int32).tobytes(),
         "counts": counts.astype(np.int32).tobytes(),
@@ -288,13 +294,14 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that share no window with any item, with their own columns.
 
-    Rows that share an id are kept or dropped together.
+    Rows that agree in id and text are kept or dropped together.
     """
-    hit = matches(docs, items, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("__p_id")).distinct()
+    hit = matches(docs, items, doc_id, text).filter("n_hit > 0").select(F.struct("doc_id", "text_key").alias("__p_key")).distinct()
     hit = materialize(hit, "contaminated-documents")
     if hit.count() <= BROADCAST_ROWS:
         hit = F.broadcast(hit)
-    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__p_id")), "left_anti")
+    mine = F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(known(f"`{text}`")).alias("text_key"))
+    return docs.join(hit, mine.eqNullSafe(F.col("__p_key")), "left_anti")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

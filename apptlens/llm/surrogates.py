@@ -8,8 +8,9 @@ and script; names keep the gender that their title tells.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be a real
 entity. All distinct entities of the corpus are checked: surrogates that clash
-are drawn again, with the next attempt in the key, until none does. Only the
-few entities with a later attempt travel back to the texts.
+are drawn again, with the next attempt in the key, until none does. Only
+entities with a later attempt travel back to the texts: to all tasks while they
+are few, else each to the texts that hold it.
 
 Defined cases: null text stays null and has no entities; empty text stays
 empty; repeated rows and entities get equal surrogates; an empty table gives an
@@ -51,7 +52,7 @@ SYLLABLES = {
     "Greek": ("βα βε γα δα δε θα θε κα κε λα λε μα με να νε ρα ρε σα σε τα τε".split(), ("ς", "ας", "ος"), ("α", "ια", "η"), ("ι", "ο", "ε")),
 }
 ATTEMPTS = 20
-# Exceptions that are sent to the texts.
+# Exceptions that are sent to all tasks; more are joined to the texts that hold them.
 MOST_EXCEPTIONS = 1 << 19
 
 _ALL = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
@@ -213,7 +214,12 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 
 
 def later_attempts(found: DataFrame, key: bytes) -> dict[tuple[str, str], int]:
-    """Entities whose first surrogates clash, with the attempt that does not.
+    """The entities of ``late_entities`` as a dictionary, for tables where they are few."""
+    return {(r["kind"], r["form"]): r["attempt"] for r in late_entities(found, key).collect()}
+
+
+def late_entities(found: DataFrame, key: bytes) -> DataFrame:
+    """``kind``, ``form`` of entities whose first surrogates clash, and the ``attempt`` that does not.
 
     Of entities that draw the same surrogate the first keeps it; a surrogate
     that is itself an entity goes to nobody.
@@ -232,19 +238,47 @@ def later_attempts(found: DataFrame, key: bytes) -> dict[tuple[str, str], int]:
         current = materialize(ranked.filter("NOT clash").select(*again.columns).unionByName(again), "surrogates")
     else:
         raise ValueError("too few surrogates for the entities of a kind")
-    late = current.filter("attempt > 0").select("kind", "form", "attempt")
-    if late.count() > MOST_EXCEPTIONS:
-        raise ValueError("too many clashes: use longer surrogates")
-    return {(r["kind"], r["form"]): r["attempt"] for r in late.collect()}
+    return current.filter("attempt > 0").select("kind", "form", "attempt")
+
+
+def _with_attempts(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """Rows with the later attempts of the entities in their text as ``late``. Copies of a text are looked up once."""
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            held = sorted({(n, k, normal(k, t[a:b])) for n, t in pairs for a, b, k, _ in find(t)})
+            columns = list(zip(*held)) or [(), (), ()]
+            kinds = [pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["text_key", "kind", "form"])
+
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    held = keyed.filter("text is not null").select("text_key", "text").mapInArrow(detect, "text_key bigint, kind string, form string")
+    per_text = (
+        held.distinct()
+        .join(late, ["kind", "form"])
+        .groupBy("text_key")
+        .agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("late"))
+    )
+    return keyed.join(materialize(per_text, "late-entities"), "text_key", "left").select("doc_id", "text", "late")
 
 
 def pseudonymize(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with surrogates: ``doc_id``, ``text``, ``n_entities`` and the ``kinds`` found."""
-    attempts = docs.sparkSession.sparkContext.broadcast(later_attempts(entities(docs, text), key))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    late = late_entities(entities(docs, text), key)
+    few: dict[tuple[str, str], int] = {}
+    if late.count() <= MOST_EXCEPTIONS:
+        few = {(r["kind"], r["form"]): r["attempt"] for r in late.collect()}
+    else:
+        rows = _with_attempts(rows, late)
+    attempts = docs.sparkSession.sparkContext.broadcast(few)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [(None, []) if t is None else replace(t, key, attempts.value) for t in batch.column(1).to_pylist()]
+            own = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            later = ({(e["kind"], e["form"]): e["attempt"] for e in o} if o else attempts.value for o in own)
+            done = [(None, []) if t is None else replace(t, key, known) for t, known in zip(batch.column(1).to_pylist(), later)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -255,5 +289,4 @@ def pseudonymize(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
                 ["doc_id", "text", "n_entities", "kinds"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(rewrite, "doc_id bigint, text string, n_entities bigint, kinds string")

@@ -193,6 +193,14 @@ def test_near_matches(spark, odd):
     assert [r["doc_id"] for r in near] == [6]
 
 
+def test_clean_documents_judges_rows_by_id_and_text(spark, items):
+    hit = " ".join(PROSE.split()[20:40])
+    rows = [(None, hit), (None, "clean"), (1, hit), (1, "clean é"), (1, "clean é"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in positional_index.clean_documents(docs, items).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], *rows[3:]], key=str)
+
+
 def test_index_in_blocks(odd, items):
     whole, blocks = (positional_index.matches(odd, items, block_bytes=b).collect() for b in (1 << 20, 40))
     key = lambda r: (str(r["doc_id"]), r["n_hit"], sorted(r["items"]))
@@ -241,6 +249,18 @@ def test_surrogate_clashes_are_drawn_again(spark, monkeypatch):
     assert sorted(late.values()) in ([], [1])
 
 
+def test_many_clashes_travel_by_join(spark, monkeypatch):
+    texts = [f"ssn {i:03d}-22-3333 and {i + 1:03d}-22-3333, mail a{i}@b.example.com" for i in range(40)] + [None, "", "no"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    attempts = {("ssn", f"{i:03d}223333"): 1 + i % 3 for i in range(0, 40, 2)}
+    late = spark.createDataFrame([(*k, n) for k, n in attempts.items()], "kind string, form string, attempt int")
+    monkeypatch.setattr(surrogates, "late_entities", lambda found, key: late)
+    want = sorted(((i, None if t is None else surrogates.replace(t, b"k", attempts)[0]) for i, t in [*enumerate(texts), (0, texts[0])]), key=str)
+    for most in (1 << 19, 0):
+        monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", most)
+        assert sorted(((r["doc_id"], r["text"]) for r in surrogates.pseudonymize(docs, b"k").collect()), key=str) == want
+
+
 def test_surrogates_keep_their_kind():
     new, _ = surrogates.replace("Mrs. Anna Smith and Herr Otto, 4111 1111 1111 1111, 10.0.0.1", b"k", {})
     assert "Anna" not in new and "Otto" not in new
@@ -271,6 +291,18 @@ def test_wrapper_alignment():
     assert kinds["p"] & html_wrappers.REPEATED and kinds["i"] & html_wrappers.OPTIONAL
 
 
+def test_deep_and_wide_markup():
+    deep = html_wrappers.parse("<div>" * 5000 + "<p>deep")
+    assert html_wrappers.blocks(deep) == ["deep"]
+    wide = html_wrappers.parse("<div>" + "".join(f"<h2>t</h2><p class=c{chr(97 + i % 26)}{chr(97 + i // 26)}>{i}</p>" for i in range(600)))
+    for page in (deep, wide):
+        one = html_wrappers.page_wrapper(page)
+        two = html_wrappers.merge(one, one)
+        assert html_wrappers._weight(two) == 2 * html_wrappers._weight(one) == 2 * html_wrappers._text_below(page)
+        assert html_wrappers.content_path(two)
+        assert max(len(w[4]) for w in (one, two, *two[4], *one[4])) <= html_wrappers.CHILDREN
+
+
 def test_secret_spans(odd):
     row = secret_ownership.scan(odd, "doc_id", "text", F.col("source"), F.col("source")).filter("doc_id = 7").first()
     text = dict(ODD)[7]
