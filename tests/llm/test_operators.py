@@ -229,6 +229,34 @@ def test_passages_against_brute_force(spark, sf_dir):
     assert {i for i, t in texts.items() if t in need} <= got
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_passages_among_variants(spark, monkeypatch, small):
+    monkeypatch.setattr(compact_windows, "SMALL_GROUP", small)
+    rng = np.random.default_rng(5)
+    word = lambda: f"v{rng.integers(1 << 40)}"
+    own = lambda n: [word() for _ in range(n)]
+    texts, passages = {}, {}
+    for n in range(20):
+        exact, stock = own(60), own(30)
+        # Variants keep about three quarters of the shingles, and so 0.6 of the union.
+        variants = [list(exact) for _ in range(12)]
+        for v in variants:
+            for at in (10 + rng.integers(4), 30 + rng.integers(4)):
+                v[at] = word()
+        for k, body in enumerate([*variants[:6], exact, *variants[6:], exact]):
+            texts[100 * n + k] = " ".join(own(40) + body + own(40))
+        passages[100 * n + 6], passages[100 * n + 13] = 100 * n + 13, 100 * n + 6
+        for k in range(20, 28):
+            texts[100 * n + k] = " ".join(own(40) + stock + own(40))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in compact_windows.passages(docs).collect()}
+    for i in passages:
+        assert any(int(a) <= 40 and int(b) >= 100 for a, b in (s.split("-") for s in got[i]["spans"].split(",")))
+        if small == 32:
+            assert min(passages[i], i) in got[i]["passage_ids"]
+    assert all(got[i]["n_links"] == 0 for i in texts if i % 100 >= 20)
+
+
 def test_surrogates(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
