@@ -257,6 +257,23 @@ def test_passages_among_variants(spark, monkeypatch, small):
     assert all(got[i]["n_links"] == 0 for i in texts if i % 100 >= 20)
 
 
+def test_passages_with_earlier_parts_and_copies(spark):
+    own = lambda k, n: [f"k{k}n{i}" for i in range(n)]
+    passage, alone = own(0, 60), " ".join(own(1, 500))
+    texts = {
+        1: " ".join(own(2, 30) + passage[:20] + own(3, 30) + passage + own(4, 30)),
+        2: " ".join(own(5, 40) + passage + own(6, 40)),
+        3: alone,
+        4: alone,
+        5: "short copy",
+        6: "short copy",
+    }
+    got = {r["doc_id"]: r for r in compact_windows.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == "80-140" and got[2]["spans"] == "40-100"
+    assert all(got[i]["spans"] == "0-500" and got[i]["n_repeated"] == 500 and got[i]["n_copies"] == 1 for i in (3, 4))
+    assert got[5]["spans"] == "" and got[5]["n_repeated"] == 0
+
+
 def test_surrogates(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
