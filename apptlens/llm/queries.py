@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from apptlens.llm import best_fit_packing, compact_windows, count_vector_join, dual_tree_search, external_shuffle, filter_audit, html_wrappers, line_deletions, positional_index, quality_thresholds, secret_ownership, surrogates
+from apptlens.llm import best_fit_packing, compact_windows, count_vector_join, dual_tree_search, external_shuffle, filter_audit, html_wrappers, invertible_sketch, line_deletions, positional_index, quality_thresholds, secret_ownership, surrogates
 from apptlens.llm.common import table
 
 # The ranks of the vocabulary in byte_bpe_50k.json.
@@ -62,6 +62,10 @@ def op10_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_vector_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invertible_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_surrogates, op3_compact_windows, op4_best_fit_packing, op5_line_deletions, op6_quality_rules, op7_html_wrappers, op8_positional_index, op9_external_shuffle, op10_count_vector_join, op12_dual_tree_search, op13_filter_audit)
+    f.__name__: f for f in (op1_secret_ownership, op2_surrogates, op3_compact_windows, op4_best_fit_packing, op5_line_deletions, op6_quality_rules, op7_html_wrappers, op8_positional_index, op9_external_shuffle, op10_count_vector_join, op11_invertible_sketch, op12_dual_tree_search, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
