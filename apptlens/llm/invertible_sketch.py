@@ -46,11 +46,13 @@ ROUNDS = 4
 
 PARAGRAPH = r"[^.!?\n]{1,160}[.!?\n]*|[.!?\n]+"
 # Text of one range, ranges at most, sampled keys per range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 MAX_RANGES = 16_384
 SAMPLE = 20
-# Documents that are sketched in one task together.
-BLOCK = 512
+# Documents that are sketched in one task together, paragraphs of a task (a cell takes about 100 bytes), tasks at most.
+BLOCK = 128
+TASK_DIGESTS = 200_000
+MAX_TASKS = 200_000
 # Rows that agree in id and text, above which they travel as one row with a count.
 HOT_ROWS = 100_000
 
@@ -283,8 +285,8 @@ def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return materialize(rows.select(*columns, wanted), "ordered-documents")
 
 
-def _entries_of_open(rows: DataFrame, attempt: int) -> DataFrame:
-    """Signed digests of the pairs that are still open, placed by blocks of documents."""
+def _entries_of_open(rows: DataFrame, attempt: int, tasks: int) -> DataFrame:
+    """Signed digests of the pairs that are still open, placed by blocks of documents in that many tasks."""
     def role(at: Column, main: Column, sends: Column) -> Column:
         return F.struct(F.floor(at / BLOCK).cast("int").alias("block"), main.alias("main"), sends.alias("sends"))
 
@@ -301,7 +303,7 @@ def _entries_of_open(rows: DataFrame, attempt: int) -> DataFrame:
         (F.col("main") & ~F.col("guest") & F.col("differ_next").isNull()).alias("x"),
         F.size("own").alias("n_own"), F.size("edited_own").alias("n_edited"), "next_size", "before_size",
     ).filter("e OR x OR sends")
-    mine = mine.repartition("r", "block")
+    mine = mine.repartition(tasks, "r", "block")
     edited, following = _larger(F.col("n_own") + F.col("n_edited"), attempt), _larger(F.col("n_own") + F.col("next_size"), attempt)
     earlier = _larger(F.col("before_size") + F.col("n_own"), attempt)
 
@@ -326,9 +328,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = _in_order(docs, doc_id, text)
     pair = ["r", "block", "at", "kind"]
+    total = rows.agg(F.sum(F.size("own") + F.size("edited_own"))).first()[0] or 0
+    tasks = min(MAX_TASKS, 1 + total // TASK_DIGESTS)
     found, attempt, tried = None, 0, rows
     while True:
-        got = materialize(recover(_entries_of_open(tried, attempt), pair, attempt + 1), "recovered")
+        got = materialize(recover(_entries_of_open(tried, attempt, tasks), pair, attempt + 1), "recovered")
         won = got.filter("left = 0").select("r", "at", "kind", "differing")
         found = won if found is None else found.unionByName(won)
         lost = got.filter("left > 0")
