@@ -12,6 +12,8 @@ from apptlens.operators.prefix import ROWS_PER_RANGE, lookup, running_totals, sc
 
 # Fixed value: provider rate assumed when a provider has no rows yet.
 POPULATION_BASE_RATE = 0.211
+# Bookings whose keys are sent to the history, to leave out all other keys.
+FEW_ROWS = 100_000
 
 
 def prior_visit_count(
@@ -80,21 +82,12 @@ def history_rate(history: DataFrame, key: str, resolved_only: bool = False) -> D
     return stats.withColumn("rate", safe_ratio(F.col("no_shows"), F.col("total")))
 
 
-def enrich_history(
-    bookings: DataFrame,
-    history: DataFrame,
-    patient: str = "patient_id",
-    provider: str = "attending_physician",
-    resolved_only: bool = False,
-    hot_rows: int = 1_000_000,
+def with_history_counts(
+    bookings: DataFrame, by_patient: DataFrame, by_provider: DataFrame, patient: str, provider: str, hot_rows: int = 1_000_000
 ) -> DataFrame:
-    """Visit count, patient rate and provider rate for each booking."""
-    by_patient = history_rate(history, patient, resolved_only).select(
-        patient, F.col("total").alias("__visits"), F.col("rate").alias("__patient_rate")
-    )
-    by_provider = history_rate(history, provider, resolved_only).select(
-        provider, F.col("total").alias("__rows"), F.col("rate").alias("__provider_rate")
-    )
+    """Visit count, patient rate and provider rate from counts per key (``total``, ``rate``)."""
+    by_patient = by_patient.select(patient, F.col("total").alias("__visits"), F.col("rate").alias("__patient_rate"))
+    by_provider = by_provider.select(provider, F.col("total").alias("__rows"), F.col("rate").alias("__provider_rate"))
     out = lookup(bookings, by_patient, [patient], "__visits", hot_rows)
     out = lookup(out, by_provider, [provider], "__rows", hot_rows)
     return out.select(
@@ -105,6 +98,78 @@ def enrich_history(
     )
 
 
+def known_before(
+    rows: DataFrame, facts: DataFrame, key: str, before: str, seen: str, hits: str, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Rows with the sums of their key's ``seen`` and ``hits`` over facts earlier than the row's moment.
+
+    ``facts`` has the columns key, ``at``, ``seen`` and ``hits``. Both sides
+    are merged into one timeline per key, over which running totals are taken,
+    so a key with very many facts is split like any hot key. A fact at the
+    very moment of a row is not earlier. Rows without key or moment get 0.
+    """
+    facts = facts.filter(F.col(key).isNotNull() & F.col("at").isNotNull())
+    keys = rows.select(key).filter(F.col(key).isNotNull())
+    # For few rows only their keys' facts are worth a shuffle; the count bounds the broadcast.
+    if keys.count() <= FEW_ROWS:
+        facts = facts.join(F.broadcast(keys.distinct()), key, "left_semi")
+    asked = rows.select(
+        F.struct(*rows.columns).alias("__row"), F.col(key).alias("__key"), F.col(before).alias("__at"),
+        F.lit(0).alias("__kind"), F.xxhash64(*rows.columns).alias("__tie"), F.lit(0).cast("long").alias("__s"), F.lit(0).cast("long").alias("__h"),
+    )
+    told = facts.select(
+        F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), F.col(key).alias("__key"), F.col("at").alias("__at"),
+        F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.col("seen").cast("long").alias("__s"), F.col("hits").cast("long").alias("__h"),
+    )
+    totals = {seen: F.col("__s"), hits: F.col("__h")}
+    line = running_totals(asked.unionByName(told), ["__key"], ["__at", "__kind", "__tie"], totals, rows_per_range)
+    return line.filter("__kind = 0").select("__row.*", seen, hits)
+
+
+def _facts(history: DataFrame, key: str, event: str, resolved_only: bool) -> DataFrame:
+    rows = history.filter(F.col("status") != "Scheduled") if resolved_only else history
+    no_show = F.coalesce(F.col("status") == "No-Show", F.lit(False)).cast("long")
+    return rows.select(key, F.col(event).alias("at"), F.lit(1).alias("seen"), no_show.alias("hits"))
+
+
+def with_facts_before(
+    bookings: DataFrame, by_patient: DataFrame, by_provider: DataFrame, patient: str, provider: str, before: str, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Visit count, patient rate and provider rate from facts earlier than the booking's moment."""
+    out = known_before(bookings, by_patient, patient, before, "__visits", "__missed", rows_per_range)
+    out = known_before(out, by_provider, provider, before, "__rows", "__lost", rows_per_range)
+    return out.select(
+        *bookings.columns,
+        F.col("__visits").alias("patient_visits"),
+        F.when(F.col("__visits") > 0, F.col("__missed") / F.col("__visits")).otherwise(F.lit(0.0)).alias("patient_rate"),
+        F.when(F.col("__rows") > 0, F.col("__lost") / F.col("__rows")).otherwise(F.lit(POPULATION_BASE_RATE)).alias("provider_rate"),
+    )
+
+
+def enrich_history(
+    bookings: DataFrame,
+    history: DataFrame,
+    patient: str = "patient_id",
+    provider: str = "attending_physician",
+    resolved_only: bool = False,
+    hot_rows: int = 1_000_000,
+    before: str | None = None,
+    event: str = "appointment_date",
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Visit count, patient rate and provider rate for each booking.
+
+    Without ``before``, over all of history. With it, over the history rows
+    whose ``event`` is earlier than the booking's own moment in that column, as
+    a model is trained: nothing later than the booking is looked at.
+    """
+    if before is not None:
+        facts = [_facts(history, key, event, resolved_only) for key in (patient, provider)]
+        return with_facts_before(bookings, *facts, patient, provider, before, rows_per_range)
+    counts = [history_rate(history, key, resolved_only) for key in (patient, provider)]
+    return with_history_counts(bookings, *counts, patient, provider, hot_rows)
+
+
 def total_visit_count(df: DataFrame, patient: str, counted: str, name: str = "total_visits", hot_rows: int = 1_000_000) -> DataFrame:
     """Non-null count of a column per patient on every row (includes later rows)."""
     size = df.filter(F.col(patient).isNotNull()).groupBy(patient)

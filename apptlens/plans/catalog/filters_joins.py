@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,9 @@ from apptlens.functions import temporal, tiers
 from apptlens.operators import encode, evaluate, filters, history, kpi, splits, trend
 from apptlens.plans.registry import day, moment, query, r10
 from apptlens.schemas import NULLABLE_RAW
+from apptlens.session import shared_dir
 from apptlens.sources import history_files, star
+from apptlens.sources.history_state import HistoryState
 
 AS_OF = datetime(1999, 6, 1, 12, 0, 0)
 
@@ -149,6 +151,42 @@ def _(spark, d):
     return out.select("id", "patient_visits", r10("patient_rate").alias("patient_rate"), r10("provider_rate").alias("provider_rate"))
 
 
+@query(
+    "enrich_history_asof",
+    """WITH h AS (SELECT patient_id, attending_physician, appointment_date AS at, CASE WHEN status = 'No-Show' THEN 1 ELSE 0 END AS k FROM appts WHERE status <> 'Scheduled'),
+       pt AS (SELECT a.id, count(*) AS n, sum(k) AS k FROM appts a JOIN h ON h.patient_id = a.patient_id AND h.at < a.booking_date GROUP BY a.id),
+       pr AS (SELECT a.id, count(*) AS n, sum(k) AS k FROM appts a JOIN h ON h.attending_physician = a.attending_physician AND h.at < a.booking_date GROUP BY a.id)
+       SELECT id, coalesce(pt.n, 0) AS patient_visits, round(coalesce(pt.k * 1.0e0 / pt.n, 0.0e0), 10) AS patient_rate,
+       round(coalesce(pr.k * 1.0e0 / pr.n, 0.211e0), 10) AS provider_rate FROM appts LEFT JOIN pt USING (id) LEFT JOIN pr USING (id)""",
+)
+def _(spark, d):
+    """Resolved rows before the booking was made; providers are cut into ranges of time."""
+    a = star.appointments(spark, d, "id", "patient_id", "attending_physician", "status", "appointment_date", "booking_date")
+    out = history.enrich_history(a, a, resolved_only=True, before="booking_date", rows_per_range=5_000)
+    return out.select("id", "patient_visits", r10("patient_rate").alias("patient_rate"), r10("provider_rate").alias("provider_rate"))
+
+
+@query(
+    "enrich_history_state",
+    """WITH pt AS (SELECT patient_id, count(*) AS n, count(*) FILTER (WHERE status = 'No-Show') AS k FROM appts GROUP BY ALL),
+       pr AS (SELECT attending_physician, count(*) AS n, count(*) FILTER (WHERE status = 'No-Show') AS k FROM appts GROUP BY ALL)
+       SELECT id, coalesce(pt.n, 0) AS patient_visits, round(coalesce(pt.k * 1.0e0 / pt.n, 0.0e0), 10) AS patient_rate,
+       round(coalesce(pr.k * 1.0e0 / pr.n, 0.211e0), 10) AS provider_rate FROM appts LEFT JOIN pt USING (patient_id) LEFT JOIN pr USING (attending_physician)""",
+)
+def _(spark, d):
+    """Counts kept up to a week before the end, then three refreshes and a merge; the lookup reads only them."""
+    a = star.appointments(spark, d, "id", "patient_id", "attending_physician", "status", "appointment_date")
+    last = a.agg(F.to_date(F.max("appointment_date"))).first()[0]
+    state = HistoryState(spark, shared_dir(spark, "history-state"))
+    state.rebuild(a, last - timedelta(days=7))
+    for back in (4, 1, 0):
+        # What the table holds on that day.
+        state.refresh(a.filter(F.to_date("appointment_date") <= F.lit(last - timedelta(days=back))))
+    state.compact(last - timedelta(days=5))
+    out = state.enrich(a, hot_rows=650)
+    return out.select("id", "patient_visits", r10("patient_rate").alias("patient_rate"), r10("provider_rate").alias("provider_rate"))
+
+
 @query("group_transform", "SELECT id, count(*) OVER (PARTITION BY attending_physician) AS provider_rows FROM appts")
 def _(spark, d):
     a = star.appointments(spark, d, "id", "attending_physician")

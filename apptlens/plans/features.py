@@ -14,6 +14,7 @@ from apptlens.operators.filters import drop_missing, filter_nonneg_lead
 from apptlens.operators.history import enrich_history, prior_rate
 from apptlens.operators.prefix import ROWS_PER_RANGE
 from apptlens.schemas import CATEGORY_FEATURES, FEATURES, NULLABLE_RAW
+from apptlens.sources.history_state import HistoryState
 
 _NUMBERS = ("LEAD_TIME_DAYS", "APPT_HOUR", "DURATION", "APPT_DOW")
 _EVENT_ORDER = ("EVENT_TIME", "APPT")
@@ -43,9 +44,19 @@ def add_running_rates(rows: DataFrame, base_rate: float, rows_per_range: int = R
     )
 
 
-def booking_inputs(bookings: DataFrame, history: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """Model inputs of bookings before encoding, next to the booking columns."""
-    rows = enrich_history(bookings, history, hot_rows=hot_rows)
+def booking_inputs(
+    bookings: DataFrame, history: DataFrame | HistoryState, hot_rows: int = 1_000_000, before: str | None = None, resolved_only: bool = False
+) -> DataFrame:
+    """Model inputs of bookings before encoding, next to the booking columns.
+
+    The history is the table itself or its kept counts; ``before`` names the
+    booking's own moment, and only what is earlier counts.
+    """
+    options = {"resolved_only": resolved_only, "hot_rows": hot_rows, "before": before}
+    if isinstance(history, HistoryState):
+        rows = history.enrich(bookings, **options)
+    else:
+        rows = enrich_history(bookings, history, **options)
     at, booked = F.col("appointment_date"), F.col("booking_date")
     dow = iso_day_of_week(at)
     same = {
@@ -66,13 +77,15 @@ def booking_inputs(bookings: DataFrame, history: DataFrame, hot_rows: int = 1_00
 
 def build_features(
     bookings: DataFrame,
-    history: DataFrame,
+    history: DataFrame | HistoryState,
     encoders: DataFrame,
     features: Sequence[str] = FEATURES,
     keep: Sequence[str] = ("id",),
     hot_rows: int = 1_000_000,
+    before: str | None = None,
+    resolved_only: bool = False,
 ) -> DataFrame:
     """Bookings to encoded, ordered model inputs."""
-    rows = booking_inputs(bookings, history, hot_rows)
+    rows = booking_inputs(bookings, history, hot_rows, before, resolved_only)
     encoded = label_encode_apply(rows, encoders, CATEGORY_FEATURES)
     return align_features(encoded, features, keep)
