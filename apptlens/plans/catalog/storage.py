@@ -10,8 +10,8 @@ from apptlens.operators import evaluate, filters, profile
 from apptlens.plans.catalog.modeling import fitted
 from apptlens.plans.registry import moment, query, r10
 from apptlens.schemas import APPOINTMENTS_SCHEMA, BOOKING_COLUMNS
-from apptlens.session import shared_dir
-from apptlens.sources import appointments_table, artifacts, exports, history_files, star
+from apptlens.session import materialize, shared_dir
+from apptlens.sources import appointments_table, artifacts, batches, exports, history_files, monthly_table, star
 
 AS_OF = datetime(1999, 6, 1, 12, 0, 0)
 
@@ -76,6 +76,30 @@ def _(spark, d):
     return per_id.groupBy("status").agg(F.sum("n").alias("n"), F.count("*").alias("ids"), F.sum("stamped").alias("stamped"))
 
 
+@query(
+    "append_booking_batches",
+    """SELECT CASE WHEN status <> 'Scheduled' THEN 'initial' WHEN id % 3 = 0 THEN 'third' ELSE 'rest' END AS batch,
+       count(*) AS n, count(*) AS ids, count(*) AS in_range FROM appts GROUP BY ALL""",
+)
+def _(spark, d):
+    """Two batches on top of the resolved rows. One is sent twice; the other first by a writer that never commits."""
+    path = shared_dir(spark, "batches")
+    a = star.appointments(spark, d)
+    batches.create_batches(spark, path, a.filter("status <> 'Scheduled'"))
+    due = a.filter("status = 'Scheduled'")
+    third, rest = (due.filter(c).select(*BOOKING_COLUMNS) for c in ("id % 3 = 0", "id % 3 <> 0"))
+    batches.append_batch(spark, path, third, "third", rows_per_range=5_000)
+    lost = batches.claim_range(spark, path, 1)
+    appointments_table.complete_bookings(rest, F.lit(lost * batches.IDS_PER_RANGE)).write.parquet(f"{path}/rows/range={lost}")
+    for rows, name in ((rest, "rest"), (third, "third"), (rest, "rest")):
+        batches.append_batch(spark, path, rows, name, rows_per_range=5_000)
+    stored = batches.read_batches(spark, path)
+    ledger = batches.read_ledger(spark, path).select(F.col("batch").alias("b"), F.col("range") * batches.IDS_PER_RANGE, "last_id").toDF("b", "first", "last_id")
+    inside = (F.col("id") > F.col("first")) & (F.col("id") <= F.col("last_id"))
+    per_id = stored.join(ledger, F.col("batch") == F.col("b")).groupBy("batch", "id").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"))
+    return per_id.groupBy("batch").agg(F.sum("n").alias("n"), F.count("*").alias("ids"), F.sum("inside").alias("in_range"))
+
+
 @query("ddl_appointments", "SELECT status, count(*) AS n, 20 AS columns FROM appts GROUP BY status")
 def _(spark, d):
     """Create, load, and create again: the second statement keeps the rows."""
@@ -146,6 +170,31 @@ def _(spark, d):
     return appointments_table.resolve_overdue_status(a, AS_OF, missed=missed).select("id", "status", "resolved")
 
 
+MID_TABLE = datetime(1997, 1, 1, 12, 0, 0)
+
+
+@query(
+    "resolve_overdue_months",
+    """WITH r AS (SELECT *, strftime(appointment_date, '%Y-%m') AS month, status = 'Scheduled' AND appointment_date < TIMESTAMP '1997-01-01 12:00:00' AS o FROM appts),
+       s AS (SELECT *, CASE WHEN o THEN CASE WHEN id % 100 < 10 THEN 'No-Show' ELSE 'Completed' END ELSE status END AS now FROM r)
+       SELECT month, count(*) AS n, count(*) FILTER (WHERE now = 'Scheduled') AS scheduled, count(*) FILTER (WHERE now = 'No-Show') AS no_shows,
+       count(*) FILTER (WHERE o) AS resolved, count(*) FILTER (WHERE o) > 0 AS rewritten FROM s GROUP BY month""",
+)
+def _(spark, d):
+    """The monthly table before and after; a month counts as rewritten if none of its old files is left."""
+    path = shared_dir(spark, "months")
+    monthly_table.write_months(star.appointments(spark, d), path)
+    before = materialize(monthly_table.month_files(spark, path), "files")
+    changed = monthly_table.resolve_months(spark, path, MID_TABLE, missed=F.pmod("id", F.lit(100)) < 10)
+    now = monthly_table.month_files(spark, path).withColumn("kept", F.lit(1))
+    kept = before.join(now, ["month", "file"], "left").groupBy("month").agg(F.max("kept").isNull().alias("rewritten"))
+    counts = monthly_table.read_months(spark, path).groupBy("month").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(c) for s, c in (("Scheduled", "scheduled"), ("No-Show", "no_shows"))]
+    )
+    out = counts.join(changed, "month", "left").join(kept, "month")
+    return out.select("month", "n", "scheduled", "no_shows", F.coalesce("resolved", F.lit(0)).cast("long").alias("resolved"), "rewritten")
+
+
 @query(
     "schema_listing",
     """SELECT CAST(k AS INTEGER) AS position, c AS "column", t AS data_type, (SELECT count(*) FROM appts) AS rows FROM (SELECT

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from apptlens.operators.models import RiskModel
 from apptlens.plans.features import build_features
 from apptlens.sources.appointments_table import append_scored_bookings
+from apptlens.sources.batches import append_batch
 from apptlens.sources.history_state import HistoryState
 
 
@@ -32,6 +33,18 @@ def score_bookings(
     return scored.select("__booking.*", F.col("p").alias("predicted_risk_prob"), "risk_level")
 
 
-def book(spark: SparkSession, table_path: str, bookings: DataFrame, history: DataFrame, model: RiskModel, encoders: DataFrame) -> None:
-    """Score bookings and add them to the appointments table."""
-    append_scored_bookings(spark, table_path, score_bookings(bookings, history, model, encoders))
+def book(
+    spark: SparkSession,
+    table_path: str,
+    bookings: DataFrame,
+    history: DataFrame | HistoryState,
+    model: RiskModel,
+    encoders: DataFrame,
+    batch: str | None = None,
+) -> None:
+    """Score bookings and add them to the appointments table; with a ``batch`` key, to a table of batches, once."""
+    scored = score_bookings(bookings, history, model, encoders)
+    if batch is None:
+        append_scored_bookings(spark, table_path, scored)
+    else:
+        append_batch(spark, table_path, scored, batch)

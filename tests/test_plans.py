@@ -43,7 +43,7 @@ def test_unused_dimensions_are_not_read(spark, sf_dir):
 
 
 # The writers run jobs when they are built; their plans are plain scans.
-_EAGER = {"persist_model_artifacts", "scan_raw_parts", "append_scored_bookings", "ddl_appointments", "export_worklist_csv", "export_threshold_csv"}
+_EAGER = {"persist_model_artifacts", "append_booking_batches", "resolve_overdue_months", "enrich_history_state", "scan_raw_parts", "append_scored_bookings", "ddl_appointments", "export_worklist_csv", "export_threshold_csv"}
 _MODELS = {"train_gbt", "train_random_forest", "train_model_set", "tune_params", "platt_calibrate", "score_batch", "feature_importance", "topk_importance", "contrib_batch", "build_features"}
 
 
