@@ -30,6 +30,11 @@ from apptlens.session import materialize
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 16_384
 SAMPLE_PER_RANGE = 20
+# Rank error of quantile sketches is rows / ACCURACY; keys that get a sketch each, at most.
+ACCURACY = 10_000
+MAX_SKETCHES = 1_000
+# Inputs below this many bytes per value that one task may sort are counted without a look at their values.
+BYTES_PER_VALUE = 64
 
 _HASH_SPACE = 1 << 40
 
@@ -222,16 +227,98 @@ def percentiles(
     value: str,
     points: Mapping[str, float],
     rows_per_range: int = ROWS_PER_RANGE,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Rows are first reduced to counts per distinct value (combined before the
-    shuffle), then ranks come from running totals over those counts, so no
-    group is ever held in one task. Adds ``n``, the non-null row count.
+    A column of few distinct values is reduced to counts per value (combined
+    before the shuffle), over which running totals give the ranks; so is any
+    small input. Where there are more than ``rows_per_range`` distinct values
+    and at most ``MAX_SKETCHES`` keys, a quantile sketch per key first brackets every percentile, and one
+    pass counts the rows below each bracket and the values inside it: about
+    8 / ``accuracy`` of the rows per point are shuffled, however many values
+    are distinct (of a key with fewer rows than ``accuracy``, all). Ranks are checked, so a bracket that misses its percentile
+    leads back to the counts. No group is ever held in one task. Adds ``n``,
+    the non-null row count.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    if _input_bytes(df) > BYTES_PER_VALUE * rows_per_range:
+        kinds = F.approx_count_distinct(F.struct(*keys) if keys else F.lit(1)).alias("keys")
+        shape = rows.agg(F.approx_count_distinct(F.struct(*keys, "__v")).alias("values"), kinds).first()
+        if shape["values"] > rows_per_range and shape["keys"] <= MAX_SKETCHES:
+            found = _bracketed_percentiles(rows, keys, points, rows_per_range, accuracy)
+            if found is not None:
+                return found
+    return _counted_percentiles(rows, keys, points, rows_per_range)
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a frame is made from, as the plan knows them; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def _bracketed_percentiles(
+    rows: DataFrame, keys: Sequence[str], points: Mapping[str, float], rows_per_range: int, accuracy: int
+) -> DataFrame | None:
+    """Percentiles from the values near them; None where a bracket holds no such rank."""
+    spark = rows.sparkSession
+    # The sketch's own error twice over, and a few ranks for interpolation.
+    margin = 4 / accuracy
+    edges = [min(1.0, max(0.0, q + side)) for q in points.values() for side in (-margin, margin)]
+    sketch = F.percentile_approx("__v", edges, accuracy).alias("e")
+    ends = [F.min("__v").alias("least"), F.max("__v").alias("most")]
+    brackets = rows.groupBy(*keys).agg(F.count("*").alias("n"), sketch, *ends)
+    # At most MAX_SKETCHES rows, a few more where the estimate was low.
+    found = brackets.collect()
+    told = []
+    for r in found:
+        marks = [
+            (i, r["least"] if lo <= 0 or r["n"] < accuracy else r["e"][2 * i], r["most"] if hi >= 1 or r["n"] < accuracy else r["e"][2 * i + 1])
+            for i, (lo, hi) in enumerate(zip(edges[::2], edges[1::2]))
+        ]
+        told.append((*[r[k] for k in keys], r["n"], marks))
+    key_types = [rows.schema[k] for k in keys]
+    mark = T.StructType([T.StructField("__i", T.IntegerType()), T.StructField("__lo", T.DoubleType()), T.StructField("__hi", T.DoubleType())])
+    schema = T.StructType(
+        [*[T.StructField(f"__h_{f.name}", f.dataType) for f in key_types], T.StructField("n", T.LongType()), T.StructField("__marks", T.ArrayType(mark))]
+    )
+    table = F.broadcast(spark.createDataFrame(told, schema))
+    same = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys] or [F.lit(True)]
+    sides = rows.join(table, same) if keys else scalars(rows, table)
+    # Rows below a bracket are only counted; of those inside, the value matters.
+    near = F.filter("__marks", lambda m: F.col("__v") <= m["__hi"])
+    near = F.transform(near, lambda m: F.struct(m["__i"].alias("__i"), F.when(F.col("__v") >= m["__lo"], F.col("__v")).alias("__v")))
+    counts = sides.select(*keys, "n", F.inline(near)).groupBy(*keys, "n", "__i", "__v").agg(F.count("*").alias("__n"))
+    counts = materialize(counts, "bracketed")
+    below = counts.filter(F.col("__v").isNull()).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__i").alias("__j"), F.col("__n").alias("__below"))
+    inside = running_totals(counts.filter(F.col("__v").isNotNull()), [*keys, "__i"], ["__v"], {"__run": F.col("__n")}, rows_per_range)
+    # One row per key and point.
+    match = [F.col("__i") == F.col("__j"), *[F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]]
+    ranked = inside.join(F.broadcast(below), match, "left").withColumn("__before", F.col("__run") + F.coalesce("__below", F.lit(0)))
+    share = F.get(F.array(*[F.lit(float(q)) for q in points.values()]), F.col("__i"))
+    place = (F.col("n") - 1) * share
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col("__v")))
+
+    picked = ranked.groupBy(*keys, "n", "__i").agg(
+        at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"), F.max(place - F.floor(place)).alias("__f")
+    )
+    mixed = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")
+    result = picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("__i") == i, mixed)).alias(name) for i, name in enumerate(points)])
+    result = materialize(result, "percentiles").select(*keys, "n", *points)
+    missing = F.lit(False)
+    for name in points:
+        missing = missing | F.col(name).isNull()
+    whole = result.agg(F.count("*").alias("n"), F.count_if(missing).alias("missing")).first()
+    return result if whole["n"] == len(found) and whole["missing"] == 0 else None
+
+
+def _counted_percentiles(rows: DataFrame, keys: Sequence[str], points: Mapping[str, float], rows_per_range: int) -> DataFrame:
+    """Percentiles from counts per distinct value."""
     # Several steps read the counts; stored, they are computed once.
-    counts = materialize(counts.agg(F.count("*").alias("__n")), "counts")
+    counts = materialize(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "counts")
     n_rows = counts.count()
     if n_rows <= rows_per_range:
         all_of_key = Window.partitionBy(*keys)
@@ -241,7 +328,12 @@ def percentiles(
     else:
         ranked = running_totals(counts, keys, ["__v"], {"__before": F.col("__n")}, rows_per_range, n_rows)
         size = counts.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("__distinct"))
-        ranked = lookup(ranked, size, keys, "__distinct") if keys else scalars(ranked, size)
+        if keys:
+            # As one struct, so that a null key finds its group.
+            by = F.struct(*keys).alias("__key")
+            ranked = lookup(ranked.select("*", by), size.select(by, "n", "__distinct"), ["__key"], "__distinct")
+        else:
+            ranked = scalars(ranked, size)
     picks = []
     for i, q in enumerate(points.values()):
         place = (F.col("n") - 1) * F.lit(float(q))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from apptlens.functions.cleaning import binary_target, target_class
 from apptlens.operators import filters, history, kpi, profile, providers, trend
+from apptlens.operators.prefix import percentiles
 from apptlens.plans.registry import day, query, r6, r10
 from apptlens.sources import star
 
@@ -331,3 +332,15 @@ def _(spark, d):
 )
 def _(spark, d):
     return profile.histogram_steps(star.scored(spark, d), "p", 20)
+
+
+@query(
+    "percentiles_all_distinct",
+    """SELECT status, count(*) AS n, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.99), 4) AS p99
+       FROM (SELECT status, id / 1048576.0e0 AS v FROM appts) GROUP BY status""",
+)
+def _(spark, d):
+    """Exact percentiles of a column without repeats, from the values near them."""
+    a = star.appointments(spark, d, "id", "status").withColumn("v", F.col("id") / 1048576.0)
+    out = percentiles(a, ["status"], "v", {"p05": 0.05, "median": 0.5, "p99": 0.99}, rows_per_range=1_000, accuracy=1_000)
+    return out.select("status", "n", *[F.round(c, 4).alias(c) for c in ("p05", "median", "p99")])

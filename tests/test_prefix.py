@@ -91,3 +91,70 @@ def test_percentiles(skewed, rows_per_range):
 def test_scalars(spark):
     df = prefix.scalars(spark.range(3), spark.range(5).agg(F.max("id").alias("top"), F.count("*").alias("n")))
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(0, 4, 5), (1, 4, 5), (2, 4, 5)]
+
+
+@pytest.fixture(scope="module")
+def continuous(spark):
+    """All values distinct but for the ties of one key; a third of the rows in one key, some without a key."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, "hot").when(i % 41 == 0, None).otherwise(F.concat(F.lit("k"), (i % 5).cast("string")))
+    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double") / 1000 - 5e8
+    value = F.when(key == "k1", F.floor(noise / 1e8).cast("double")).when(i % 97 == 0, None).otherwise(noise)
+    return spark.range(30_000).select("id", key.alias("k"), value.alias("v"))
+
+
+POINTS = {"lo": 0.0, "q1": 0.25, "m": 0.5, "q999": 0.999, "hi": 1.0}
+
+
+def interpolated(values, q):
+    place = (len(values) - 1) * q
+    lo = values[int(place)]
+    return lo + (values[-int(-place // 1)] - lo) * (place - int(place))
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("accuracy", [10_000, 200])
+def test_bracketed_percentiles(continuous, monkeypatch, keys, accuracy):
+    monkeypatch.setattr(prefix, "_counted_percentiles", None)
+    got = prefix.percentiles(continuous, keys, "v", POINTS, 500, accuracy).collect()
+    rows = [r for r in continuous.collect() if r.v is not None]
+    assert len(got) == (len({r.k for r in rows}) if keys else 1)
+    for r in got:
+        values = sorted(x.v for x in rows if not keys or x.k == r.k)
+        assert r.n == len(values)
+        for name, q in POINTS.items():
+            assert r[name] == pytest.approx(interpolated(values, q), rel=1e-12)
+
+
+def test_brackets_and_counts_agree(continuous):
+    brackets = prefix._bracketed_percentiles(continuous.select("k", F.col("v").alias("__v")).dropna(subset=["__v"]), ["k"], POINTS, 500, 300)
+    counts = prefix._counted_percentiles(continuous.select("k", F.col("v").alias("__v")).dropna(subset=["__v"]), ["k"], POINTS, 500)
+    assert sorted(map(str, brackets.collect())) == sorted(map(str, counts.collect()))
+
+
+def test_brackets_that_miss_lead_back_to_counts(continuous, monkeypatch):
+    monkeypatch.setattr(prefix.F, "percentile_approx", lambda *_: F.array(*[F.lit(0.5)] * 10))
+    got = prefix.percentiles(continuous, [], "v", POINTS, 500).collect()
+    monkeypatch.undo()
+    assert got == prefix.percentiles(continuous, [], "v", POINTS, 500).collect()
+
+
+def test_brackets_shuffle_few_values(spark, continuous, monkeypatch):
+    """What is stored between the passes does not grow with the distinct values."""
+    kept = {}
+
+    def stored(df, purpose, write=prefix.materialize):
+        out = write(df, purpose)
+        kept[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(prefix, "materialize", stored)
+    prefix.percentiles(continuous, [], "v", {"m": 0.5}, 500, 1_000)
+    assert 0 < kept["bracketed"] < 30_000 * 0.02 and "counts" not in kept
+
+
+def test_percentiles_of_nothing(continuous):
+    none = continuous.filter("v is null")
+    assert prefix.percentiles(none, ["k"], "v", {"m": 0.5}).collect() == []
+    wide = prefix.percentiles(continuous.filter("id < 3"), ["id"], "v", {"m": 0.5}, 1)
+    assert wide.count() == 2
