@@ -12,7 +12,8 @@ import public_tokenizers
 from apptlens.llm import best_fit_packing, compact_windows, count_vector_join, dual_tree_search, external_shuffle, filter_audit, html_wrappers, invertible_sketch, line_deletions, positional_index, quality_thresholds, secret_ownership, surrogates
 from apptlens.llm.common import table
 
-# The ranks of the vocabulary in byte_bpe_50k.json.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# The ranks of the same vocabulary.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # For tests; a real corpus needs a secret key.
 SURROGATE_KEY = b"registered query"
@@ -35,7 +36,7 @@ def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, RANKS, public_tokenizers.PATTERN)
 
 
 def op5_line_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import public_tokenizers
 from apptlens.llm import best_fit_packing, count_vector_join, line_deletions, positional_index, quality_thresholds
 from apptlens.session import materialize
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,7 +43,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in token sequences."""
-    return best_fit_packing.pack_documents(docs, RANKS, public_tokenizers.PATTERN)
+    return best_fit_packing.pack_documents(docs, TOKENIZER, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [

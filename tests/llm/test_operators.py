@@ -62,12 +62,12 @@ def items(spark):
 
 
 def operators(items):
-    ranks, pattern = queries.RANKS, public_tokenizers.PATTERN
+    files = queries.TOKENIZER, queries.RANKS, public_tokenizers.PATTERN
     return {
         "secrets": lambda d: secret_ownership.scan(d, "doc_id", "text", F.col("source"), F.struct("source", "lang")),
         "surrogates": lambda d: surrogates.pseudonymize(d, b"k"),
         "passages": compact_windows.passages,
-        "packing": lambda d: best_fit_packing.pack_documents(d, ranks, pattern),
+        "packing": lambda d: best_fit_packing.pack_documents(d, *files),
         "lines": line_deletions.report,
         "quality": quality_thresholds.verdicts,
         "index": lambda d: positional_index.digest(d, items),
@@ -155,8 +155,7 @@ def test_pieces_and_packing(odd):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    rows = best_fit_packing.pack_documents(odd, queries.RANKS, public_tokenizers.PATTERN).collect()
+    rows = best_fit_packing.pack_documents(odd, queries.TOKENIZER, queries.RANKS, public_tokenizers.PATTERN).collect()
     by = collections.defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -172,6 +171,18 @@ def test_pieces_and_packing(odd):
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["hello <|endoftext|> world<|endoftext|>", " " * 1_000_000, "\n" * 1_000_000 + "end", "a" + " \t" * 400_000 + "<|endoftext|>", "x" * 300_000],
+    ids=["special", "blanks", "feeds", "mixed", "letters"],
+)
+def test_ids_of_the_tokenizer_file(text):
+    from tokenizers import Tokenizer
+
+    encode = best_fit_packing.encoder(queries.TOKENIZER, queries.RANKS, public_tokenizers.PATTERN)
+    assert list(encode(text)) == Tokenizer.from_file(queries.TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_everything(seed):
     rng = np.random.default_rng(seed)
