@@ -5,14 +5,18 @@ set. Shingles are hashed into groups; the group counts are a node's point, and
 the summed minima of two points bound the overlap of the sets from above.
 
 Nodes that can reach the threshold share one of their first shingles in a
-common order (rare before frequent), so every such shingle is a bucket. Inside
-a bucket the first node is compared with all others; what is not yet connected
-then goes through a tree over the points: leaves of nodes of similar size with
-the box around them, pairs of leaves whose boxes allow a link, pairs of nodes
-whose points allow it. Surviving pairs are verified on the whole sets. Nodes
-that are already connected are not compared again, so a group of near copies
-costs as many pairs as it has members. The components are exact: the order of
-shingles changes the work, never the result.
+common order (rare before frequent), so every such shingle is a bucket; buckets
+of mostly the same nodes are united. Rounds of hubs come first: a few nodes of
+each bucket and band of sizes are compared with the nodes of the bucket that
+they could link to, leave the bucket, and what is then connected with all its
+neighbours leaves as well. A round makes as many pairs as there are rows, times
+a constant, so a group of near copies costs as many pairs as it has members.
+When few pairs are left, or a round settles little, the rest goes through a
+tree over the points: leaves of nodes of similar size with the box around them,
+pairs of leaves whose boxes allow a link, pairs of nodes whose points allow it.
+Surviving pairs are verified on the whole sets, and nodes that are already
+connected are not compared. The components are exact: the order of shingles,
+the hubs and the unions change the work, never the result.
 
 Defined cases: null text and text without words have the empty set and link to
 nothing; fewer words than a shingle are one shingle; repeated rows share a set;
@@ -22,6 +26,7 @@ columns are ignored, or returned by ``distinct_documents``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +44,12 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS = 512
 LEAF = 64
-# Rounds that compare one node of each open bucket with the others, before the
-# tree compares all that are left.
-STAR_ROUNDS = 2
+# Hubs of a bucket and band after the first round, which takes one.
+HUBS = 8
+# Rounds of hubs go on until the pairs left are no more than the rows of the
+# first round, or until one leaves more than this share of the rows open; the
+# tree compares those.
+SHRINK = 0.9
 
 # Nodes to be verified that are sent to the texts; for more, the texts are shuffled.
 BROADCAST_ROWS = 1 << 19
@@ -278,9 +286,53 @@ def _without_equal_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(first.select("bucket"), "bucket", "left_semi")
 
 
-def _with_hub(rows: DataFrame) -> DataFrame:
-    """Rows with the first node of their bucket and its size."""
-    return rows.withColumn("hub", F.min(F.struct("node", "n")).over(Window.partitionBy("bucket")))
+def _united(rows: DataFrame, turn: int) -> DataFrame:
+    """Buckets that hold mostly the same nodes as one, so that their pairs are met once.
+
+    Two minima of hashes of the nodes name the buckets to unite, and a union
+    stands if it is not much larger than the largest bucket in it. A union
+    holds all pairs of its buckets.
+    """
+    marks = [F.min(F.xxhash64("node", F.lit(2 * turn + k))).alias(f"h{k}") for k in (0, 1)]
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *marks)
+    classes = sizes.groupBy("h0", "h1").agg(F.min("bucket").alias("into"), F.max("c").alias("most"), F.count(F.lit(1)).alias("k"))
+    into = sizes.join(classes.filter("k > 1"), ["h0", "h1"]).select("bucket", "into", "most")
+    named = materialize(rows.join(into, "bucket", "left"), "named-buckets")
+    united = named.filter("into is not null").dropDuplicates(["into", "node"])
+    fit = united.groupBy("into").agg(F.count(F.lit(1)).alias("size"), F.max("most").alias("most")).filter("size <= 2 * most")
+    fit = materialize(fit.select("into"), "united-buckets")
+    kept = named.join(fit, "into", "left_anti").select(*rows.columns)
+    return kept.unionByName(united.join(fit, "into", "left_semi").withColumn("bucket", F.col("into")).select(*rows.columns))
+
+
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows with a band of their size; only nodes of one band or of neighbouring bands can link."""
+    # A little wider than the threshold, so that rounding cannot part two linked sizes by two bands.
+    width = 1.000001 * math.log(100 / percent)
+    return rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
+
+
+def _near_bands() -> Column:
+    return F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+
+
+def _hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """A few nodes of each bucket and band: half of them unlinked if there are any, half by hash alone.
+
+    The first settle what stands alone, the second join parts that have grown apart.
+    """
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS if turn else 1))
+    late = F.col("linked") & (slot % 2 == 0)
+    best = F.min(F.struct(late.alias("late"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "part")).alias("hub")
+    return rows.groupBy("bucket", "band", slot.alias("slot")).agg(best)
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Rows with a node of another part among those of their bucket and neighbouring bands."""
+    spans = rows.groupBy("bucket", "band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    spans = spans.select("bucket", _near_bands(), "low", "high")
+    mixed = spans.groupBy("bucket", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+    return rows.join(mixed.select("bucket", "band"), ["bucket", "band"], "left_semi")
 
 
 def _leaf_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +391,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         .select("bucket", "node", "n")
     )
     several = materialize(_with_partner(several, percent), "shared-shingles")
-    shared = materialize(_with_hub(_without_equal_buckets(several)), "distinct-buckets")
+    shared = materialize(_united(materialize(_without_equal_buckets(several), "distinct-buckets"), 0), "shared-buckets")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     candidates = (
         rows.filter("n > 0")
@@ -352,15 +404,28 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     a = candidates.select(F.col("node").alias("a"), F.col("point").alias("pa"))
     b = candidates.select(F.col("node").alias("b"), F.col("point").alias("pb"))
 
-    sets, tested, parts, open_rows = None, None, None, shared
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            stars = open_rows.filter(_similar_size(F.col("n"), F.col("hub.n"), percent) & (F.col("node") > F.col("hub.node")))
-            ends = {"a": "hub.node", "b": "node", "na": "hub.n", "nb": "n"}
-            stars = stars.select(*[F.col(c).alias(k) for k, c in ends.items()]).distinct()
-            pairs = _allows(stars.join(b, "b").join(a, "a"), percent)
-        else:
+    sets, tested, parts, turn, left, first_rows = None, None, None, 0, None, None
+    open_rows = _banded(shared, percent).withColumns({"part": F.col("node"), "linked": F.lit(False)})
+    open_rows = materialize(open_rows, "open-buckets")
+    while True:
+        sizes = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        now = sizes.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        before, left = left, now["rows"]
+        if turn and not left:
+            break
+        first_rows = left if first_rows is None else first_rows
+        last = turn > 0 and (now["pairs"] <= first_rows or left > SHRINK * before)
+        if last:
             pairs = _leaf_pairs(open_rows.join(candidates.select("node", "point"), "node"), percent)
+        else:
+            hubs = materialize(_hubs(open_rows, turn), "hubs")
+            near = hubs.select("bucket", _near_bands(), F.struct("hub.node", "hub.n", "hub.part").alias("hub"))
+            met = (F.col("part") != F.col("hub.part")) & _similar_size(F.col("n"), F.col("hub.n"), percent)
+            stars = open_rows.join(near, ["bucket", "band"]).filter(met)
+            one, two = F.struct("hub.node", "hub.n"), F.struct("node", "n")
+            stars = stars.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+            stars = stars.select(*[F.col(c).alias(k) for k, c in {"a": "x.node", "b": "y.node", "na": "x.n", "nb": "y.n"}.items()])
+            pairs = _allows(stars.distinct().join(b, "b").join(a, "a"), percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "allowed-pairs")
@@ -371,18 +436,18 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         sets = _sets(texts, new) if sets is None else sets.unionByName(_sets(texts, new))
         edges = materialize(_verified(pairs, sets, percent), "similar-pairs")
         parts = components(edges if parts is None else parts.unionByName(edges))
-        if turn == STAR_ROUNDS:
+        if last:
             break
-        # The hub has been compared with all of its bucket. What stays open are
-        # buckets whose other nodes are not all connected.
-        part_of = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
-        rest = open_rows.filter(F.col("node") != F.col("hub.node")).select("bucket", "node", "n").join(part_of, "node", "left")
-        rest = _with_partner(rest.withColumn("part", F.coalesce("part", "node")), percent)
-        rest = rest.withColumns({"low": F.min("part").over(spread), "high": F.max("part").over(spread)}).filter("low <> high")
-        open_rows = materialize(_with_hub(rest.drop("low", "high")), "open-buckets")
-        if open_rows.isEmpty():
-            break
-
+        turn += 1
+        # A hub has been compared with all of its bucket that it can link to.
+        # What stays open are the other nodes near a node of another part.
+        gone = hubs.select("bucket", F.col("hub.node").alias("node"))
+        rest = open_rows.select("bucket", "node", "n", "band").join(gone, ["bucket", "node"], "left_anti")
+        names = parts.select(F.col("u").alias("node"), F.col("v").alias("part"), F.lit(True).alias("linked"))
+        names = names.unionByName(parts.select(F.col("v").alias("node"), F.col("v").alias("part"), F.lit(True).alias("linked")).distinct())
+        rest = rest.join(names, "node", "left").withColumns({"part": F.coalesce("part", "node"), "linked": F.coalesce("linked", F.lit(False))})
+        rest = materialize(_unsettled(_with_partner(rest, percent)), "unsettled")
+        open_rows = materialize(_united(rest, turn), "open-buckets")
     root = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
     return rows.join(root, "node", "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("part", "node")).alias("root")

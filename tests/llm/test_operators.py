@@ -120,10 +120,34 @@ def test_tree_finds_what_stars_miss(spark, monkeypatch):
     texts = [" ".join(words[k : k + 50]) for k in range(0, 10)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(count_vector_join, "LEAF", 2)
-    monkeypatch.setattr(count_vector_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(count_vector_join, "SHRINK", 0)
     assert {r["component_id"] for r in count_vector_join.groups(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("hubs, shrink", [(8, 0.9), (1, 0), (1, 1)])
+def test_join_of_variants(spark, monkeypatch, hubs, shrink):
+    """Chains and versions of one text, most below the threshold of each other: components as by brute force."""
+    monkeypatch.setattr(count_vector_join, "HUBS", hubs)
+    monkeypatch.setattr(count_vector_join, "SHRINK", shrink)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for family in range(3):
+        for _ in range(25):
+            words = base[family * 20 : family * 20 + int(rng.integers(50, 100))]
+            for k in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[k] = f"e{rng.integers(0, 40)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    part = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and part[a] != part[b]:
+            low, high = sorted((part[a], part[b]))
+            part = [low if p == high else p for p in part]
+    got = {r["doc_id"]: r["component_id"] for r in count_vector_join.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(part)) and 1 < len(set(part)) < len(texts)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (60, 40)], "u long, v long")
     got = {r["u"]: r["v"] for r in components.components(edges).collect()}
