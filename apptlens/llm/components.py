@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from apptlens.session import materialize
 
+# Few edges are not written as many files.
+EDGES_PER_FILE = 50_000
+
 
 def _linked_to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "u")
@@ -36,10 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     joins are left to adaptive execution, which splits skewed keys.
     """
     edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "component-edges")
+    files = edges.count() // EDGES_PER_FILE + 1
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "component-edges")
+        edges = materialize(_small_star(_large_star(edges)).distinct().coalesce(files), "component-edges")
         now = edges.agg(mark.alias("m")).first()["m"]
         if now == before:
             return edges

@@ -44,7 +44,8 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS = 512
 LEAF = 64
-# Hubs of a bucket and band after the first round, which takes one.
+# Hubs of a bucket and band in the second round; the first takes one, later
+# ones twice as many as the round before, of fewer rows.
 HUBS = 8
 # Rounds of hubs go on until the pairs left are no more than the rows of the
 # first round, or until one leaves more than this share of the rows open; the
@@ -321,7 +322,7 @@ def _hubs(rows: DataFrame, turn: int) -> DataFrame:
 
     The first settle what stands alone, the second join parts that have grown apart.
     """
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS if turn else 1))
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS << turn - 1 if turn else 1))
     late = F.col("linked") & (slot % 2 == 0)
     best = F.min(F.struct(late.alias("late"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "part")).alias("hub")
     return rows.groupBy("bucket", "band", slot.alias("slot")).agg(best)
@@ -430,11 +431,14 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "allowed-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _named(pairs, candidates)
-        if sets is not None:
-            new = new.join(sets.select("node"), "node", "left_anti")
+        wanted = _named(pairs, candidates)
+        new = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
         sets = _sets(texts, new) if sets is None else sets.unionByName(_sets(texts, new))
-        edges = materialize(_verified(pairs, sets, percent), "similar-pairs")
+        # Only the sets of this round's pairs are shuffled.
+        names = wanted.select("node")
+        if wanted.count() <= BROADCAST_ROWS:
+            names = F.broadcast(names)
+        edges = materialize(_verified(pairs, sets.join(names, "node", "left_semi"), percent), "similar-pairs")
         parts = components(edges if parts is None else parts.unionByName(edges))
         if last:
             break
@@ -446,8 +450,10 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         names = parts.select(F.col("u").alias("node"), F.col("v").alias("part"), F.lit(True).alias("linked"))
         names = names.unionByName(parts.select(F.col("v").alias("node"), F.col("v").alias("part"), F.lit(True).alias("linked")).distinct())
         rest = rest.join(names, "node", "left").withColumns({"part": F.coalesce("part", "node"), "linked": F.coalesce("linked", F.lit(False))})
-        rest = materialize(_unsettled(_with_partner(rest, percent)), "unsettled")
-        open_rows = materialize(_united(rest, turn), "open-buckets")
+        open_rows = materialize(_unsettled(_with_partner(rest, percent)), "open-buckets")
+        if turn == 1:
+            # The first round settles most rows, after which more buckets agree.
+            open_rows = materialize(_united(open_rows, turn), "united-rows")
     root = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
     return rows.join(root, "node", "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("part", "node")).alias("root")
