@@ -124,7 +124,7 @@ def test_tree_finds_what_stars_miss(spark, monkeypatch):
     assert {r["component_id"] for r in count_vector_join.groups(docs).collect()} == {0}
 
 
-@pytest.mark.parametrize("hubs, shrink", [(8, 0.9), (1, 0), (1, 1)])
+@pytest.mark.parametrize("hubs, shrink", [(8, 0.75), (1, 0), (1, 1)])
 def test_join_of_variants(spark, monkeypatch, hubs, shrink):
     """Chains and versions of one text, most below the threshold of each other: components as by brute force."""
     monkeypatch.setattr(count_vector_join, "HUBS", hubs)
