@@ -2,10 +2,14 @@
 
 Every text gets counts (words, symbols, repeated lines, repeated word windows).
 Their ratios go into quantile sketches per language and source: counts per
-value kept to six leading bits, so a quantile is off by at most 1/32 of its
+value kept to eight leading bits, so a quantile is off by at most 1/128 of its
 value, and sketches merge by adding counts, in any order and with one result.
-A cutoff is the upper fence of its sketch. Groups too small to tell use the
-merged sketch of their language, and then that of the whole corpus.
+A cutoff is the upper fence of its sketch: the upper quartile and a multiple of
+the spread, which is the quartile range or, where that is less, what one event
+(a symbol, an equal line, a window found twice) makes in a document of the
+group's median size, read from sketches of the sizes. Groups too small to tell
+use the merged sketch of their language, and then that of the whole corpus. As
+few events as the multiple never reject, since they say little of a short text.
 
 Defined cases: null text has no words and fails; a null language or source is
 a group of its own; repeated rows count as often as they appear; an empty
@@ -33,10 +37,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 # Rows from which a group has cutoffs of its own.
 GROUP_ROWS = 50
-# The fence lies this many quartile ranges above the upper quartile, and at
-# least the margin of its ratio (per thousand words, lines or characters).
-RANGES = 3
-MARGINS = {"symbols": 150, "dup_lines": 500, "repeats": 200, "word_length": 8000}
+# The fence lies this many spreads above the upper quartile.
+RANGES = 4
+# Leading bits of a value that a sketch keeps.
+BITS = 8
+# What one event adds to the count of a ratio (a window found twice covers at
+# least two windows), the size by which the ratio divides, and the count.
+EVENTS = {"symbols": (1, "words", "n_symbols"), "dup_lines": (1, "lines", "n_dup_lines"), "repeats": (2 * WINDOW, "words", "n_repeat_words")}
+# The least spread of the mean length of words: a tenth of a character.
+LEAST_SPREAD = 100
+RATIOS = (*EVENTS, "word_length")
 
 # Cutoffs that are sent to the documents; for more groups, both are shuffled.
 BROADCAST_GROUPS = 1 << 18
@@ -112,19 +122,25 @@ def ratios() -> dict[str, Column]:
     }
 
 
+def few_events(name: str) -> Column:
+    """Whether a document has too few events for its ratio to be judged."""
+    return F.col(f"__q_{EVENTS[name][2]}") <= RANGES * EVENTS[name][0] if name in EVENTS else F.lit(False)
+
+
 def bucket(value: str) -> Column:
-    """The value with all but its six leading bits cleared."""
-    low = f"greatest(length(bin({value})) - 6, 0)"
+    """The value with all but its leading bits cleared."""
+    low = f"greatest(length(bin({value})) - {BITS}, 0)"
     return F.expr(f"shiftleft(shiftright({value}, {low}), {low})")
 
 
 def sketch(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    """Counts per language, source, ratio and bucket, of the rows that pass the fixed rule.
+    """Counts per language, source, ratio or size, and bucket, of the rows that pass the fixed rule.
 
-    A few hundred buckets per group at most; combined before the shuffle, so
+    A few thousand buckets per group at most; combined before the shuffle, so
     the rows of a hot source never meet in one task.
     """
-    pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in ratios().items()])
+    measured = {**ratios(), "words": F.col("__q_n_words"), "lines": F.col("__q_n_lines")}
+    pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in measured.items()])
     return (
         stats.filter(~base_failed())
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("r"))
@@ -140,23 +156,24 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys, "ratio")
     upto = F.sum("n").over(group.orderBy("bucket"))
     ranked = merged.withColumns({"upto": upto, "total": F.sum("n").over(group)})
-    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
-    margin = F.element_at(F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv]), F.col("ratio"))
-    return (
-        ranked.groupBy(*keys, "ratio")
-        .agg(F.max("total").alias("rows"), at(25).alias("q25"), at(75).alias("q75"))
-        .withColumn("fence", F.col("q75") + F.greatest(RANGES * (F.col("q75") - F.col("q25")), margin))
-        .groupBy(*keys)
-        .agg(
-            F.max("rows").alias("rows"),
-            *[F.max(F.when(F.col("ratio") == k, F.col("fence"))).alias(f"fence_{k}") for k in MARGINS],
-        )
+    at = lambda name, percent: F.min(
+        F.when((F.col("ratio") == name) & (100 * F.col("upto") >= percent * F.col("total")), F.col("bucket"))
+    )
+    quartiles = ranked.groupBy(*keys).agg(
+        F.max("total").alias("rows"),
+        *[at(k, p).alias(f"{k}_{p}") for k in RATIOS for p in (25, 75)],
+        *[at(k, 50).alias(f"{k}_50") for k in ("words", "lines")],
+    )
+    least = {k: F.expr(f"{event * 1000}L div greatest({size}_50, 1L)") for k, (event, size, _) in EVENTS.items()}
+    fence = lambda k: F.col(f"{k}_75") + RANGES * F.greatest(
+        F.col(f"{k}_75") - F.col(f"{k}_25"), least.get(k, F.lit(LEAST_SPREAD).cast("long"))
     )
+    return quartiles.select(*keys, "rows", *[fence(k).alias(f"__t_{k}") for k in RATIOS])
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """The cutoffs in force for each language and source."""
-    cutoffs = [f"fence_{k}" for k in MARGINS]
+    cutoffs = [f"__t_{k}" for k in RATIOS]
     own, by_lang, overall = (fences(sketches, k).alias(a) for k, a in ((["lang", "source"], "o"), (["lang"], "l"), ([], "a")))
     picked = lambda c: (
         F.when(F.col("o.rows") >= GROUP_ROWS, F.col(f"o.{c}"))
@@ -177,7 +194,7 @@ def judged(stats: DataFrame, counted: DataFrame, lang: str = "lang", source: str
     same = F.col(f"`{lang}`").eqNullSafe(F.col("__t_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("__t_source"))
     below = F.lit(True)
     for name, value in ratios().items():
-        below = below & F.coalesce(value <= F.col(f"fence_{name}"), F.lit(True))
+        below = below & (few_events(name) | F.coalesce(value <= F.col(f"__t_{name}"), F.lit(True)))
     rows = stats.join(cut, same, "left")
     columns = [F.col(f"`{c}`") for c in stats.columns]
     return rows.select(*columns, base_failed().alias("__q_base_failed"), (~base_failed() & below).alias("__q_kept"))
@@ -202,21 +219,22 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     return judged(stats, stats, lang, source).filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-_BUCKET = "(v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0)"
+_LOW = f"greatest(length(bin(v)) - {BITS}, 0)"
+_BUCKET = f"(v >> {_LOW}) << {_LOW}"
 
 
 def verdict_sql(source: str = "documents") -> str:
     """Common table expressions ending in ``q6``: every row with ``kept``."""
-    margin = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MARGINS.items())
+    at = lambda k, p: f"min(bucket) FILTER (ratio = '{k}' AND 100 * upto >= {p} * total)"
+    least = lambda k: f"{EVENTS[k][0] * 1000} // greatest({at(EVENTS[k][1], 50)}, 1)" if k in EVENTS else LEAST_SPREAD
+    cut = lambda k: f"{at(k, 75)} + {RANGES} * greatest({at(k, 75)} - {at(k, 25)}, {least(k)}) AS f_{k}"
+    few = lambda k: f"{EVENTS[k][2]} <= {RANGES * EVENTS[k][0]} OR " if k in EVENTS else ""
     fence = lambda keys: f"""
-  SELECT {keys}max(total) AS n_rows, {", ".join(f"max(fence) FILTER (ratio = '{k}') AS f_{k}" for k in MARGINS)} FROM (
-    SELECT {keys}ratio, max(total) AS total,
-      min(bucket) FILTER (100 * upto >= 75 * total) + greatest({RANGES} * (min(bucket) FILTER (100 * upto >= 75 * total)
-        - min(bucket) FILTER (100 * upto >= 25 * total)), CASE ratio {margin} END) AS fence
-    FROM (SELECT {keys}ratio, bucket, sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS upto,
-            sum(n) OVER (PARTITION BY {keys}ratio) AS total
-          FROM (SELECT {keys}ratio, bucket, sum(n) AS n FROM q6_sketch GROUP BY {keys}ratio, bucket))
-    GROUP BY {keys}ratio){" GROUP BY " + keys.rstrip(", ") if keys else ""}"""
+  SELECT {keys}max(total) AS n_rows, {", ".join(cut(k) for k in RATIOS)}
+  FROM (SELECT {keys}ratio, bucket, sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS upto,
+          sum(n) OVER (PARTITION BY {keys}ratio) AS total
+        FROM (SELECT {keys}ratio, bucket, sum(n) AS n FROM q6_sketch GROUP BY {keys}ratio, bucket))
+  {"GROUP BY " + keys.rstrip(", ") if keys else ""}"""
     pick = lambda k: f"CASE WHEN o.n_rows >= {GROUP_ROWS} THEN o.f_{k} WHEN l.n_rows >= {GROUP_ROWS} THEN l.f_{k} ELSE a.f_{k} END"
     return f"""
 q6_d AS (SELECT row_number() OVER () AS r, *, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
@@ -235,12 +253,12 @@ q6_b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PER
     n_repeat_words * 1000 // greatest(n_words, 1) AS r_repeats, word_chars * 1000 // greatest(n_words, 1) AS r_word_length
   FROM q6_s),
 q6_sketch AS (SELECT lang, source, ratio, {_BUCKET} AS bucket, count(*) AS n FROM (
-    {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, r_{k} AS v FROM q6_b WHERE NOT base_failed" for k in MARGINS)})
+    {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {v} AS v FROM q6_b WHERE NOT base_failed" for k, v in [*((k, "r_" + k) for k in RATIOS), ("words", "n_words"), ("lines", "n_lines")])})
   GROUP BY ALL),
 q6_own AS ({fence("lang, source, ")}), q6_lang AS ({fence("lang, ")}), q6_all AS ({fence("")}),
-q6_cut AS (SELECT o.lang, o.source, {", ".join(f"{pick(k)} AS f_{k}" for k in MARGINS)}
+q6_cut AS (SELECT o.lang, o.source, {", ".join(f"{pick(k)} AS f_{k}" for k in RATIOS)}
   FROM q6_own o JOIN q6_lang l ON o.lang IS NOT DISTINCT FROM l.lang, q6_all a),
-q6 AS (SELECT b.*, NOT base_failed AND {" AND ".join(f"coalesce(r_{k} <= f_{k}, true)" for k in MARGINS)} AS kept
+q6 AS (SELECT b.*, NOT base_failed AND {" AND ".join(f"({few(k)}coalesce(r_{k} <= f_{k}, true))" for k in RATIOS)} AS kept
   FROM q6_b b LEFT JOIN q6_cut c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source)"""
 
 
