@@ -139,14 +139,19 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with their columns, the text without the lines that go, and ``__l_gone``, their number."""
     body = F.col(f"`{text}`")
-    gone = materialize(removed_lines(docs, doc_id, text), "removed-lines").withColumnRenamed("key", "__l_key")
+    gone = materialize(removed_lines(docs, doc_id, text), "removed-lines").select(F.col("key").alias("__l_key"), F.col("gone").alias("__l_places"))
     order = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
     mine = F.struct(order.alias("doc"), F.xxhash64(known(body)).alias("text_key"))
-    rows = docs.withColumn("__l_mine", mine).join(gone, F.col("__l_mine").eqNullSafe(F.col("__l_key")), "left")
-    left = F.array_join(F.filter(_split(body), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    kept = F.when(F.col("gone").isNull(), body).otherwise(left).alias(text)
-    return rows.select(*columns, kept, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__l_gone"))
+    # Names of the documents do not mix with those of the verdict.
+    names = [f"__l_{i}" for i in range(len(docs.columns))]
+    rows = docs.select(mine.alias("__l_mine"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    rows = rows.join(gone, F.col("__l_mine").eqNullSafe(F.col("__l_key")), "left")
+    body = F.col(names[docs.columns.index(text)])
+    left = F.array_join(F.filter(_split(body), lambda line, i: ~F.array_contains("__l_places", i)), "\n")
+    kept = F.when(F.col("__l_places").isNull(), body).otherwise(left)
+    rows = rows.select(*names, kept.alias("__l_text"), F.coalesce(F.size("__l_places"), F.lit(0)).cast("long").alias("__l_gone"))
+    columns = [F.col(n).alias(c) for c, n in zip(docs.columns, names) if c != text]
+    return rows.select(*columns, F.col("__l_text").alias(text), "__l_gone")
 
 
 def report(docs: DataFrame) -> DataFrame:

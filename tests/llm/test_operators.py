@@ -91,6 +91,35 @@ def test_odd_and_empty_input(odd, items, name):
         assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(i for i, _ in ODD)
 
 
+@pytest.mark.parametrize("name", ["filter", "dedupe"])
+def test_clashing_columns(odd, items, name):
+    names = ["gone", "__l_key", "__l_places", "fence_symbols", "rows", "near", "line"]
+    extra = odd.select("*", *[F.lit("mine").alias(c) for c in names])
+    rows = operators(items)[name](extra).collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in names)
+    assert len(rows) == operators(items)[name](odd).count()
+
+
+def test_each_quality_ratio_rejects(spark):
+    """One outlier per ratio that the fixed rule passes, among 60 plain documents of 100 lines of 10 words."""
+    word = lambda d, i: f"d{d}w{i:04d}"
+    body = lambda d, lines=100: [" ".join(word(d, 10 * i + j) for j in range(10)) for i in range(lines)]
+    texts = {d: body(d) for d in range(60)}
+    texts[0][0] += " #"  # a few events say nothing
+    texts[100] = [line + " # |" for line in body(100)]
+    # Two lines of two words in turn between lines of their own: no window of five words repeats.
+    texts[101] = [x for i, line in enumerate(body(101)) for x in (line, "same here" if i % 2 else "other there")][:100]
+    texts[102] = [*body(102, 90), *body(102, 9)]
+    texts[103] = [line.replace("w", "w" * 6) for line in body(103)]
+    rows = [(d, "\n".join(t), "en", "s") for d, t in texts.items()]
+    # A group of its own in which symbols are usual.
+    rows += [(d, "\n".join(line + " # |" for line in body(d)), "en", "code") for d in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_thresholds.verdicts(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {d for d, r in got.items() if not r["kept"]} == {100, 101, 102, 103}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), sf_dir, queries.QUERIES[name], queries.ORACLES[name]) is None
