@@ -3,13 +3,17 @@
 A page is a tree of elements. Pages of one host are aligned tree by tree:
 equal elements are merged, neighbours of one kind become a repeated group, an
 element that some pages lack becomes optional, and text that differs between
-pages becomes a slot. The result is a union-free regular expression, the
-host's wrapper. Partial wrappers are built where the pages are and merged per
-host in two steps, so a host of any size meets nowhere as pages.
+pages becomes a slot; text that all pages have at one place stays a constant. The
+result is a union-free regular expression, the host's wrapper. Partial wrappers
+are built where the pages are and merged per host in two steps, so a host of
+any size meets nowhere as pages.
 
 The wrapper names the element that holds a host's article: where its slots
 hold most text outside menus, notices and the like. Each page's text is then
-read below that element; pages that do not have it use their own best.
+read below that element, without the constants, which belong to the template;
+pages that do not have the element use their own best. Constants are left in
+where a host has fewer than ``TEMPLATE_PAGES`` different pages, or where they
+are more than a fifth of the article: such pages are copies, not a template.
 
 Defined cases: null or empty html gives empty text; a null or malformed address
 is a host of its own; broken markup is read as far as it goes; very deep or wide
@@ -20,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -174,10 +179,15 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-# A wrapper is nested lists: [key, flags, slot characters, constant text hash or None, children].
+# A wrapper is nested lists: [key, flags, characters, constants, children]. The
+# constants are the hashes of the element's own texts that every page has, with
+# their characters; what is beyond them are slots.
 # flags: 1 optional, 2 repeated, 4 skipped.
 OPTIONAL, REPEATED, SKIPPED = 1, 2, 4
-SLOT = "*"
+# Different pages from which text that all of them have is the template's, and
+# the largest part of an article, one in so many characters, that may be constant.
+TEMPLATE_PAGES = 8
+CONSTANT_PART = 5
 # A wrapper describes elements to this depth; the text of deeper ones counts there.
 DEPTH = 96
 # Neighbours that a wrapper tells apart below one element. Beyond, one group per
@@ -186,9 +196,19 @@ CHILDREN = 128
 REST = "rest"
 
 
-def _weight(w: list) -> int:
-    """Characters of text in a wrapper that are not skipped."""
-    return 0 if w[1] & SKIPPED else w[2] + sum(map(_weight, w[4]))
+def _weight(w: list, pages: int = 0) -> int:
+    """Characters of text in a wrapper that are not skipped; given the number of pages, of slots alone."""
+    if w[1] & SKIPPED:
+        return 0
+    return max(w[2] - pages * sum(w[3].values()), 0) + sum(_weight(c, pages) for c in w[4])
+
+
+def _own_text(node: Node) -> str:
+    return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+
+
+def _hashed(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
 def _text_below(node: Node) -> int:
@@ -209,38 +229,43 @@ def _folded(children: list) -> list:
     kinds: dict[str, list] = {}
     for w in children:
         if w[0] in kinds:
-            kinds[w[0]] = merge(kinds[w[0]], w)
+            kinds[w[0]] = merge(kinds[w[0]], w, True)
             kinds[w[0]][1] |= REPEATED
         else:
             kinds[w[0]] = w
     if len(kinds) <= CHILDREN:
         return list(kinds.values())
     light = sorted(kinds, key=lambda k: (k != REST, _weight(kinds[k]), k))[: len(kinds) - CHILDREN + 1]
-    rest = [REST, OPTIONAL | REPEATED, sum(_weight(kinds[k]) for k in light), SLOT, []]
+    rest = [REST, OPTIONAL | REPEATED, sum(_weight(kinds[k]) for k in light), {}, []]
     return [*(w for k, w in kinds.items() if k not in set(light)), rest]
 
 
 def page_wrapper(node: Node, depth: int = DEPTH) -> list:
     """The wrapper of a single page: its tree, with neighbours of one kind merged."""
     if not depth:
-        return [node.key, SKIPPED * node.skipped, _text_below(node), SLOT, []]
-    own = " ".join(c.strip() for c in node.children if isinstance(c, str) and c.strip())
+        return [node.key, SKIPPED * node.skipped, _text_below(node), {}, []]
+    own = _own_text(node)
     children: list = []
     for child in node.children:
         if isinstance(child, str) or child.tag in VOID:
             continue
         w = page_wrapper(child, depth - 1)
         if children and children[-1][0] == w[0]:
-            children[-1] = merge(children[-1], w)
+            children[-1] = merge(children[-1], w, True)
             children[-1][1] |= REPEATED
         else:
             children.append(w)
-    return [node.key, SKIPPED * node.skipped, len(own), own[:80] or None, _folded(children)]
+    return [node.key, SKIPPED * node.skipped, len(own), {_hashed(own): len(own)} if own else {}, _folded(children)]
+
 
+def _optional(w: list) -> list:
+    """An element that some page lacks: nothing below it is constant."""
+    return [w[0], w[1] | OPTIONAL, w[2], {}, [_optional(c) for c in w[4]]]
 
-def merge(a: list, b: list) -> list:
-    """Align two wrappers of one element."""
-    text = a[3] if a[3] == b[3] else SLOT
+
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """Align two wrappers of one element: of different pages, or, as a repeated group, of ``one_page``."""
+    constants = {**a[3], **b[3]} if one_page else {h: n for h, n in a[3].items() if h in b[3]}
     left, right, out = a[4], b[4], []
     # Children are aligned by kind: the longest common run of kinds is kept.
     la, lb = [c[0] for c in left], [c[0] for c in right]
@@ -251,50 +276,85 @@ def merge(a: list, b: list) -> list:
     i = j = 0
     while i < len(la) or j < len(lb):
         if i < len(la) and j < len(lb) and la[i] == lb[j]:
-            one = merge(left[i], right[j])
+            one = merge(left[i], right[j], one_page)
             i, j = i + 1, j + 1
         elif j == len(lb) or (i < len(la) and table[i + 1][j] >= table[i][j + 1]):
-            one, i = [*left[i]], i + 1
-            one[1] |= OPTIONAL
+            one, i = left[i] if one_page else _optional(left[i]), i + 1
+            one = [one[0], one[1] | OPTIONAL, *one[2:]]
         else:
-            one, j = [*right[j]], j + 1
-            one[1] |= OPTIONAL
+            one, j = right[j] if one_page else _optional(right[j]), j + 1
+            one = [one[0], one[1] | OPTIONAL, *one[2:]]
         if out and out[-1][0] == one[0]:
-            one = merge(out[-1], one)
+            one = merge(out[-1], one, True)
             one[1] |= REPEATED
             out[-1] = one
         else:
             out.append(one)
-    return [a[0], a[1] | b[1], a[2] + b[2], text, _folded(out)]
+    return [a[0], a[1] | b[1], a[2] + b[2], constants, _folded(out)]
 
 
-def content_path(wrapper: list) -> list[str]:
+def content_path(wrapper: list, pages: int = 0) -> list[str]:
     """Keys from the root to the element that holds the article.
 
     The main element of that name if there is one, else the deepest one that
-    holds most of the text that is not skipped.
+    holds most of the text that is not skipped; slots alone count if the
+    number of pages is given and there are any.
     """
+    if not _weight(wrapper, pages):
+        pages = 0
+    weight = lambda w: _weight(w, pages)
 
     def named(w: list, path: list[str]) -> list[tuple[int, list[str]]]:
         if w[1] & SKIPPED:
             return []
         here = [*path, w[0]]
-        mine = [(_weight(w), here)] if w[0].split(".")[0] in CONTENT else []
+        mine = [(weight(w), here)] if w[0].split(".")[0] in CONTENT else []
         return mine + [x for c in w[4] for x in named(c, here)]
 
     found = named(wrapper, [])
     if found and max(found)[0] > 0:
         return max(found, key=lambda x: x[0])[1]
-    path, node, whole = [wrapper[0]], wrapper, _weight(wrapper)
+    path, node, whole = [wrapper[0]], wrapper, weight(wrapper)
     while True:
-        best = max(node[4], key=_weight, default=None)
-        if best is None or _weight(best) * 10 < whole * 8 or best[0].split(".")[0] not in BLOCKS or not best[4]:
+        best = max(node[4], key=weight, default=None)
+        if best is None or weight(best) * 10 < whole * 8 or best[0].split(".")[0] not in BLOCKS or not best[4]:
             return path
         if best[0].split(".")[0] in ("p", "ul", "ol", "table", "li") or best[1] & REPEATED:
             return path
         path, node = [*path, best[0]], best
 
 
+def template_texts(wrapper: list, path: list[str], pages: int) -> dict[str, list[str]]:
+    """Per place (keys from the root, one a line) the hashes of the constant texts below a path.
+
+    None where they are too large a part of the article to be the template's.
+    """
+    level = [wrapper]
+    for key in path[1:]:
+        level = [c for w in level for c in w[4] if c[0] == key and not c[1] & SKIPPED]
+    found: dict[str, list[str]] = {}
+    todo, constant = [("\n".join(path), w) for w in level], 0
+    while todo:
+        place, w = todo.pop()
+        if w[3]:
+            found.setdefault(place, []).extend(w[3])
+            constant += sum(w[3].values())
+        todo += [(f"{place}\n{c[0]}", c) for c in w[4] if not c[1] & SKIPPED]
+    return found if constant * pages * CONSTANT_PART <= sum(map(_weight, level)) else {}
+
+
+def _drop_template(root: Node, constants: dict[str, list[str]]) -> None:
+    """Take the constant texts out of a page."""
+    todo = [(root.key, root)]
+    while todo:
+        place, node = todo.pop()
+        if place in constants and _hashed(_own_text(node)) in constants[place]:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        # Places are only as deep as the wrapper, and only those on the way matter.
+        if place.count("\n") <= DEPTH:
+            todo += [(f"{place}\n{c.key}", c) for c in node.children if isinstance(c, Node)]
+
+
 def _below(node: Node, path: list[str]) -> list[Node]:
     """The elements at a path from the root."""
     level = [node]
@@ -320,9 +380,11 @@ def _named_content(node: Node) -> list[Node]:
     return []
 
 
-def main_text(html: str, path: list[str] | None) -> str:
-    """The article of a page, below the wrapper's content element."""
+def main_text(html: str, path: list[str] | None, constants: dict[str, list[str]] | None = None) -> str:
+    """The article of a page, below the wrapper's content element and without its constants."""
     root = parse(html)
+    if constants:
+        _drop_template(root, constants)
     named = _named_content(root)
     tops = (_below(root, path) if path else []) or named or [root]
     if named and not any(t in named for t in tops):
@@ -330,25 +392,39 @@ def main_text(html: str, path: list[str] | None) -> str:
     return "\n".join(b for t in tops for b in blocks(t))
 
 
+def joined(a: dict, b: dict) -> dict:
+    """The wrapper of two sets of a host's pages. ``seen`` are up to ``TEMPLATE_PAGES`` hashes of different pages."""
+    seen = sorted({*a["seen"], *b["seen"]})[:TEMPLATE_PAGES]
+    return {"pages": a["pages"] + b["pages"], "seen": seen, "wrapper": merge(a["wrapper"], b["wrapper"])}
+
+
+def host_rule(host: dict) -> dict:
+    """Where a host's article stands and which texts below are its template's."""
+    pages = host["pages"] if len(host["seen"]) >= TEMPLATE_PAGES else 0
+    path = content_path(host["wrapper"], pages)
+    return {"path": path, "constants": template_texts(host["wrapper"], path, pages) if pages else {}}
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host`` and ``wrapper`` (JSON): every page takes part."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known_hosts: dict[str, list] = {}
+            known_hosts: dict[str, dict] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = page_wrapper(parse(html.as_py()))
-                known_hosts[host] = merge(known_hosts[host], w) if host in known_hosts else w
+                page = html.as_py()
+                w = {"pages": 1, "seen": [_hashed(page)], "wrapper": page_wrapper(parse(page))}
+                known_hosts[host] = joined(known_hosts[host], w) if host in known_hosts else w
             yield pa.RecordBatch.from_pydict(
                 {"host": list(known_hosts), "wrapper": [json.dumps(w) for w in known_hosts.values()]},
                 pa.schema([("host", pa.string()), ("wrapper", pa.string())]),
             )
 
     def merged(group: pa.Table) -> pa.Table:
-        whole: list | None = None
+        whole: dict | None = None
         for text in group.column("wrapper").to_pylist():
             w = json.loads(text)
-            whole = w if whole is None else merge(whole, w)
+            whole = w if whole is None else joined(whole, w)
         return pa.table({"host": group.column("host").slice(0, 1), "wrapper": [json.dumps(whole)]})
 
     schema = "host string, wrapper string"
@@ -363,21 +439,22 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), known("html").alias("html"))
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [json.dumps(content_path(json.loads(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["rule_host", "path"])
+            rules = [json.dumps(host_rule(json.loads(w))) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], ["rule_host", "rule"])
 
-    rules = wrappers(rows).mapInArrow(paths, "rule_host string, path string")
+    rules = wrappers(rows).mapInArrow(found, "rule_host string, rule string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rules = {r: json.loads(r) for r in batch.column(3).unique().to_pylist() if r}
+            none = {"path": None, "constants": None}
             texts = [
-                main_text(html.as_py(), json.loads(path) if path else None)
-                for html, path in zip(batch.column(2), batch.column(3).to_pylist())
+                main_text(html.as_py(), **rules.get(rule, none)) for html, rule in zip(batch.column(2), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    ruled = rows.join(rules, rows["host"] == rules["rule_host"], "left").select("page_id", "url", "html", "path")
+    ruled = rows.join(rules, rows["host"] == rules["rule_host"], "left").select("page_id", "url", "html", "rule")
     texts = ruled.mapInArrow(read, "page_id bigint, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
