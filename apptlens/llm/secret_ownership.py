@@ -1,10 +1,11 @@
 """Secrets in text, judged by who holds them.
 
 Patterns find candidates; a candidate's hash is then counted over the whole
-corpus by distinct owners and repositories. A value held by one owner looks
-live, one that many owners hold is a copied example. The counts also add
-spans: a bare token without any keyword counts as a secret (kind ``owned``)
-when exactly one owner holds it.
+corpus by distinct owners, repositories and texts. A value that many owners,
+repositories or texts hold is a copied example, wherever it stands; one that a
+single owner holds in few places looks live; what is left is shared. The counts
+also add spans: a bare token without any keyword counts as a secret (kind
+``owned``) when it looks live. Copies of a text within a repository count once.
 
 Defined cases: null text is empty; rows that agree in id and text get the same
 spans; a null owner or repository counts as one; an empty table gives an empty
@@ -13,6 +14,8 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,36 @@ PATTERNS = (
 )
 BASE = 3
 
-# Owners from which a value counts as a copied example.
+# Owners, repositories or texts (distinct in each repository, added up) from
+# which a value counts as a copied example.
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 3
+COPIED_TEXTS = 10
+
+# Results of a fold that are kept apart before they join the others.
+BLOCK = 128
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The last state of a fold (``state``), and all arrays it gave, joined (``out``).
+
+    New elements go to a block that joins the rest when it is full, so that
+    the rest is not copied for every element.
+    """
+    none = F.array().cast(_SPANS)
+
+    def one(acc: Column, item: Column) -> Column:
+        state, new = step(acc["state"], item)
+        full = F.size(acc["part"]) >= BLOCK
+        return F.struct(
+            state.alias("state"),
+            F.when(full, F.concat(acc["out"], acc["part"])).otherwise(acc["out"]).alias("out"),
+            F.concat(F.when(full, none).otherwise(acc["part"]), new).alias("part"),
+        )
+
+    zero = F.struct(first.alias("state"), none.alias("out"), none.alias("part"))
+    return F.aggregate(items, zero, one, lambda acc: F.struct(acc["state"].alias("state"), F.concat(acc["out"], acc["part"]).alias("out")))
 
 
 def _spans(text: Column, order: int) -> Column:
@@ -44,29 +75,37 @@ def _spans(text: Column, order: int) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    walk = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda state, m: F.struct(
-            (state["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("at"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        (state["at"] + F.length(m["gap"])).alias("start"),
-                        F.lit(order).alias("kind"),
-                        (state["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("end"),
-                        m["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda state: state["out"],
-    )
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.length(m["gap"])
+        end = start + F.length(m["whole"])
+        return end, F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), m["value"].alias("value")))
+
+    none = F.array().cast(_SPANS)
+    walk = _folded(found, F.lit(0), step)["out"]
     return F.when(text.rlike(pattern), F.filter(walk, lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
+def _clear(base: Column, bare: Column) -> Column:
+    """The bare tokens that no base span overlaps, in one pass over both by their start.
+
+    ``reach`` is where the base spans so far end; the last bare token waits
+    for a base span that starts within it.
+    """
+    none = F.array().cast(_SPANS)
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        is_base = s["kind"] < BASE
+        hit = is_base & (F.size(state["open"]) > 0) & (F.coalesce(F.get(state["open"], 0)["end"], F.lit(0)) > s["start"])
+        reach = F.when(is_base, F.greatest(state["reach"], s["end"])).otherwise(state["reach"])
+        waits = F.when(~is_base & (state["reach"] <= s["start"]), F.array(s)).otherwise(none)
+        # A base span ends the wait of a token, by overlapping or by passing it.
+        return F.struct(reach.alias("reach"), waits.alias("open")), F.when(hit, none).otherwise(state["open"])
+
+    both = _folded(F.sort_array(F.concat(base, bare)), F.struct(F.lit(0).alias("reach"), none.alias("open")), step)
+    return F.when((F.size(base) == 0) | (F.size(bare) == 0), bare).otherwise(F.concat(both["out"], both["state"]["open"]))
+
+
 def candidates(docs: DataFrame, doc_id: str, text: str, owner: Column, repository: Column) -> DataFrame:
     """Per row its pattern matches: base spans and bare tokens beside them."""
     body = known(text)
@@ -80,24 +119,30 @@ def candidates(docs: DataFrame, doc_id: str, text: str, owner: Column, repositor
         F.sort_array(F.concat(*[_spans(body, k) for k in range(BASE)])).alias("base"),
         F.filter(_spans(body, BASE), mixed).alias("bare"),
     )
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.select("doc_id", "text_key", "owner", "repository", "base", F.filter("bare", clear).alias("bare"))
+    return rows.select("doc_id", "text_key", "owner", "repository", "base", _clear(F.col("base"), F.col("bare")).alias("bare"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per value hash: its owners, repositories and occurrences, corpus-wide.
+    """Per value hash: its owners, repositories and texts, corpus-wide.
 
-    Three aggregations, each combined before its shuffle, so a value that a
-    third of all rows hold reaches one task as a few partial counts.
+    Aggregations each combined before its shuffle, so a value that a third of
+    all rows hold reaches one task as a few partial counts.
     """
     return (
-        found.select("owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))
-        .groupBy(F.xxhash64("s.value").alias("value_key"), "owner", "repository")
-        .agg(F.count(F.lit(1)).alias("n"))
+        found.select("owner", "repository", "text_key", F.explode(F.concat("base", "bare")).alias("s"))
+        .select(F.xxhash64("s.value").alias("value_key"), "owner", "repository", "text_key")
+        .distinct()
+        .groupBy("value_key", "owner", "repository")
+        .agg(F.count(F.lit(1)).alias("texts"))
         .groupBy("value_key", "owner")
-        .agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("repositories"), F.sum("texts").alias("texts"))
         .groupBy("value_key")
-        .agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("texts").alias("texts"))
+        .withColumn(
+            "copied",
+            (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES) | (F.col("texts") >= COPIED_TEXTS),
+        )
+        .select("value_key", "copied", (~F.col("copied") & (F.col("owners") == 1)).alias("live"))
     )
 
 
@@ -110,21 +155,22 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, doc_id: str, text: str, owner: Column, repository: Column) -> DataFrame:
     """Per row: counts and digest of the base spans, all spans, and how many
-    spans look live or copied."""
+    spans look live, copied or shared."""
     found = materialize(candidates(docs, doc_id, text, owner, repository), "secret-candidates")
     judged = (
         found.filter(F.size("base") + F.size("bare") > 0)
-        .select("doc_id", "text_key", F.explode(F.array_distinct(F.concat("base", "bare"))).alias("s"))
+        .select("doc_id", "text_key", F.explode(F.concat("base", "bare")).alias("s"))
         .distinct()
         .withColumn("value_key", F.xxhash64("s.value"))
         .join(ownership(found), "value_key")
         .groupBy("doc_id", "text_key")
         .agg(
-            F.collect_list(F.when((F.col("s.kind") == BASE) & (F.col("owners") == 1), F.col("s"))).alias("owned"),
-            F.count_if(F.col("owners") == 1).alias("n_live"),
-            F.count_if(F.col("owners") >= COPIED_OWNERS).alias("n_copied"),
+            F.collect_list(F.when((F.col("s.kind") == BASE) & F.col("live"), F.col("s"))).alias("owned"),
+            F.count_if("live").alias("n_live"),
+            F.count_if("copied").alias("n_copied"),
+            F.count_if(~F.col("live") & ~F.col("copied")).alias("n_shared"),
         )
-        .select(F.struct("doc_id", "text_key").alias("key"), "owned", "n_live", "n_copied")
+        .select(F.struct("doc_id", "text_key").alias("key"), "owned", "n_live", "n_copied", "n_shared")
     )
     rows = found.withColumn("key", F.struct("doc_id", "text_key"))
     same = rows["key"].eqNullSafe(judged["key"])
@@ -135,8 +181,7 @@ def scan(docs: DataFrame, doc_id: str, text: str, owner: Column, repository: Col
         *[of_kind(k).alias(f"n_{PATTERNS[k][0]}") for k in range(BASE)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "n_shared")],
     )
 
 
@@ -164,14 +209,17 @@ base AS ({" UNION ALL ".join(_sql_spans(k) for k in range(BASE))}),
 bare AS (SELECT * FROM ({_sql_spans(BASE)}) o
   WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = o.r AND base.b < o.e AND o.b < base.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM every JOIN d USING (r) GROUP BY v),
-judged AS (SELECT every.*, n FROM every JOIN owners USING (v)),
+owners AS (SELECT v, owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} OR texts >= {COPIED_TEXTS} AS copied,
+    owners = 1 AND NOT copied AS live
+  FROM (SELECT v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT row(coalesce(source, ''), coalesce(lang, ''))) AS repositories,
+          count(DISTINCT row(coalesce(source, ''), coalesce(lang, ''), t)) AS texts FROM every JOIN d USING (r) GROUP BY v)),
+judged AS (SELECT every.*, copied, live FROM every JOIN owners USING (v)),
 per AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     {_LISTED.replace("ORDER BY b, k)", "ORDER BY b, k) FILTER (k < 3)")} AS base,
-    {_LISTED.replace("ORDER BY b, k)", "ORDER BY b, k) FILTER (k < 3 OR n = 1)")} AS spans,
-    count(*) FILTER (n = 1) AS n_live, count(*) FILTER (n >= {COPIED_OWNERS}) AS n_copied
+    {_LISTED.replace("ORDER BY b, k)", "ORDER BY b, k) FILTER (k < 3 OR live)")} AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT live AND NOT copied) AS n_shared
   FROM judged GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_shared, 0) AS n_shared
 FROM d LEFT JOIN per USING (r)"""

@@ -393,6 +393,33 @@ def test_wrappers(spark):
     assert html_wrappers.main_texts(pages.limit(0)).collect() == []
 
 
+def _host(n, page):
+    return [(i, "http://one.example.com/", page(i, [f"word{i}x{j}" for j in range(80)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("tag", ["article", "div class=body"])
+def test_template_text_goes(spark, tag):
+    """Text that all pages of a host have in the article belongs to the template, whatever its element is called."""
+    page = lambda i, w: (
+        f"<body><div class=top>{' Our many constant words' * 40}</div><{tag}><h2>{w[0]}</h2><p>{' '.join(w[:40])}</p>"
+        f"<p>Get our daily mail, join now</p><p>{' '.join(w[40:])}</p></{tag.split()[0]}></body>"
+    )
+    text = lambda i, w: "\n".join([w[0], " ".join(w[:40]), " ".join(w[40:])])
+    rows = _host(30, page)
+    got = {r["page_id"]: r["text"] for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, _, t in _host(30, text)}
+    # The wrapper decides: without it the constants stay.
+    assert all("Get our daily mail" in html_wrappers.main_text(html, None) for _, _, html in rows)
+
+
+@pytest.mark.parametrize("n, versions", [(5, 5), (30, 1), (30, 30)], ids=["small host", "copies", "near copies"])
+def test_copies_are_no_template(spark, n, versions):
+    body = " ".join(f"same{j}" for j in range(200))
+    rows = [(i, "http://one.example.com/", f"<article><p>{body}</p><p>version {i % versions}</p></article>") for i in range(n)]
+    got = html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"{body}\nversion {i % versions}" for i in range(n)}
+
+
 def test_wrapper_alignment():
     one, two = (html_wrappers.page_wrapper(html_wrappers.parse(h)) for h in ("<div><p>a</p><p>b</p></div>", "<div><i>x</i><p>c</p></div>"))
     div = html_wrappers.merge(one, two)[4][0]
@@ -420,6 +447,46 @@ def test_secret_spans(odd):
     assert row["base_sha256"] == hashlib.sha256(",".join(":".join(s) for s in spans if s[0] != "owned").encode()).hexdigest()
 
 
+def test_secret_verdicts(spark):
+    """One value per case: live, two owners, many owners, repositories or texts."""
+    value = lambda k: f"key{k}abcdefghijklmnop{k}0"
+    rows = [(1, f"see {value(1)} here", "a", "en"), (1, f"see {value(1)} here", "a", "en")]
+    rows += [(10 + i, f"see {value(2)} here", f"o{i}", "en") for i in range(2)]
+    rows += [(20 + i, f"see {value(3)} here", f"o{i}", "en") for i in range(3)]
+    rows += [(30 + i, f"see {value(4)} here", "a", f"l{i}") for i in range(3)]
+    rows += [(40 + i, f"see {value(5)} in text {i}", "a", f"l{i % 2}") for i in range(40)]
+    rows += [(90 + i, f"see {value(6)} in copies", "a", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = secret_ownership.scan(docs, "doc_id", "text", F.col("source"), F.struct("source", "lang")).collect()
+    case = lambda i: 1 if i < 10 else i // 10 + 1 if i < 40 else 5 if i < 90 else 6
+    by = collections.defaultdict(set)
+    for r in got:
+        by[case(r["doc_id"])].add((r["n_live"], r["n_shared"], r["n_copied"], r["spans"]))
+    assert by[1] == by[6] == {(1, 0, 0, "owned:4:26")} and by[2] == {(0, 1, 0, "")}
+    assert by[3] == by[4] == by[5] == {(0, 0, 1, "")}
+
+
+def test_secrets_of_a_text_with_many(spark):
+    rng = np.random.default_rng(7)
+    parts, at, base, bare = [], 0, [], []
+    for i in range(20_000):
+        token = f"A{i:06d}" + "".join(rng.choice(list("QWXYZ"), 15))
+        kind = i % 3
+        part = f"{token} . " if kind == 0 else f"password={token} . " if kind == 1 else f"{token}AKIA{'B' * 20} . "
+        if kind == 1:
+            base.append(f"assign:{at}:{at + len(part) - 3}")
+        elif kind == 2:
+            base.append(f"access:{at + len(token)}:{at + len(part) - 3}")
+        else:
+            bare.append((at, f"owned:{at}:{at + len(token)}"))
+        parts.append(part)
+        at += len(part)
+    docs = spark.createDataFrame([(1, "".join(parts), "s", "en")], "doc_id long, text string, source string, lang string")
+    row = secret_ownership.scan(docs, "doc_id", "text", F.col("source"), F.struct("source", "lang")).first()
+    assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert [s for s in row["spans"].split(",") if s.startswith("owned")] == [s for _, s in bare]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = docs
