@@ -38,88 +38,97 @@ COPIED_OWNERS = 3
 COPIED_REPOSITORIES = 3
 COPIED_TEXTS = 10
 
-# Results of a fold that are kept apart before they join the others.
+# Elements of an array that are folded together.
 BLOCK = 128
-_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """The last state of a fold (``state``), and all arrays it gave, joined (``out``).
+def _with_running(rows: DataFrame, name: str, items: str, number: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``name``: for each element of an array, the numbers of all before it, combined.
 
-    New elements go to a block that joins the rest when it is full, so that
-    the rest is not copied for every element.
+    A fold copies its state for every element, so the array is folded in
+    blocks and then the blocks' totals, which keeps long arrays linear.
     """
-    none = F.array().cast(_SPANS)
-
-    def one(acc: Column, item: Column) -> Column:
-        state, new = step(acc["state"], item)
-        full = F.size(acc["part"]) >= BLOCK
-        return F.struct(
-            state.alias("state"),
-            F.when(full, F.concat(acc["out"], acc["part"])).otherwise(acc["out"]).alias("out"),
-            F.concat(F.when(full, none).otherwise(acc["part"]), new).alias("part"),
-        )
-
-    zero = F.struct(first.alias("state"), none.alias("out"), none.alias("part"))
-    return F.aggregate(items, zero, one, lambda acc: F.struct(acc["state"].alias("state"), F.concat(acc["out"], acc["part"]).alias("out")))
-
+    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+    folded = lambda values, of: F.aggregate(
+        values,
+        zero,
+        lambda acc, x: F.struct(
+            combine(acc["total"], of(x)).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")
+        ),
+    )
+    last = F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: folded(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), number))
+    rows = rows.withColumn("block", blocks).withColumn("earlier", folded(F.col("block"), lambda x: x["total"])["before"])
+    whole = F.transform(
+        F.arrays_zip("block", "earlier"), lambda z: F.transform(z["block"]["before"], lambda x: combine(x, z["earlier"]))
+    )
+    return rows.withColumn(name, F.flatten(whole)).drop("block", "earlier")
 
-def _spans(text: Column, order: int) -> Column:
-    """Matches of one pattern as (start, order, end, value), in code points.
 
-    What lies between the matches gives the offsets.
-    """
-    _, pattern, group, least = PATTERNS[order]
+def _found(text: Column, order: int) -> Column:
+    """Matches of one pattern with what lies before each, which gives the offsets."""
+    _, pattern, group, _ = PATTERNS[order]
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), lambda x: F.length(x)).alias("gap"),
+        F.transform(whole, lambda x: F.length(x)).alias("length"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-
-    def step(at: Column, m: Column) -> tuple[Column, Column]:
-        start = at + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        return end, F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), m["value"].alias("value")))
-
-    none = F.array().cast(_SPANS)
-    walk = _folded(found, F.lit(0), step)["out"]
-    return F.when(text.rlike(pattern), F.filter(walk, lambda s: F.length(s["value"]) >= least)).otherwise(none)
+    none = F.array().cast("array<struct<gap:int,length:int,value:string>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _spans(order: int) -> Column:
+    """Matches as (start, kind, end, value), in code points."""
+    least = PATTERNS[order][3]
+    spans = F.transform(
+        F.arrays_zip(F.col(f"found{order}").alias("m"), F.col(f"at{order}").alias("at")),
+        lambda z: F.struct(
+            (z["at"] + z["m"]["gap"]).alias("start"),
+            F.lit(order).alias("kind"),
+            (z["at"] + z["m"]["gap"] + z["m"]["length"]).alias("end"),
+            z["m"]["value"].alias("value"),
+        ),
+    )
+    return F.filter(spans, lambda s: F.length(s["value"]) >= least)
 
 
-def _clear(base: Column, bare: Column) -> Column:
-    """The bare tokens that no base span overlaps, in one pass over both by their start.
+def _clear() -> Column:
+    """The bare tokens that no base span overlaps, of ``both`` in order of their start.
 
-    ``reach`` is where the base spans so far end; the last bare token waits
-    for a base span that starts within it.
+    A base span before a token overlaps it if the furthest end so far
+    (``reach``) lies within; one that starts within it is the next of ``both``,
+    since tokens do not overlap each other.
     """
-    none = F.array().cast(_SPANS)
-
-    def step(state: Column, s: Column) -> tuple[Column, Column]:
-        is_base = s["kind"] < BASE
-        hit = is_base & (F.size(state["open"]) > 0) & (F.coalesce(F.get(state["open"], 0)["end"], F.lit(0)) > s["start"])
-        reach = F.when(is_base, F.greatest(state["reach"], s["end"])).otherwise(state["reach"])
-        waits = F.when(~is_base & (state["reach"] <= s["start"]), F.array(s)).otherwise(none)
-        # A base span ends the wait of a token, by overlapping or by passing it.
-        return F.struct(reach.alias("reach"), waits.alias("open")), F.when(hit, none).otherwise(state["open"])
-
-    both = _folded(F.sort_array(F.concat(base, bare)), F.struct(F.lit(0).alias("reach"), none.alias("open")), step)
-    return F.when((F.size(base) == 0) | (F.size(bare) == 0), bare).otherwise(F.concat(both["out"], both["state"]["open"]))
+    alone = lambda z, i: (
+        (z["both"]["kind"] == BASE)
+        & (z["reach"] <= z["both"]["start"])
+        & F.coalesce(F.get("both", i + 1)["start"] >= z["both"]["end"], F.lit(True))
+    )
+    return F.transform(F.filter(F.arrays_zip("both", "reach"), alone), lambda z: z["both"])
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, owner: Column, repository: Column) -> DataFrame:
     """Per row its pattern matches: base spans and bare tokens beside them."""
     body = known(text)
-    # The position of a bare token that a base span covers says nothing new.
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(body).alias("text_key"),
         owner.alias("owner"),
         repository.alias("repository"),
-        F.sort_array(F.concat(*[_spans(body, k) for k in range(BASE)])).alias("base"),
-        F.filter(_spans(body, BASE), mixed).alias("bare"),
+        *[_found(body, k).alias(f"found{k}") for k in range(len(PATTERNS))],
+    )
+    for k in range(len(PATTERNS)):
+        rows = _with_running(rows, f"at{k}", f"found{k}", lambda m: m["gap"] + m["length"], lambda a, b: a + b)
+    # The position of a bare token that a base span covers says nothing new.
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    keys = ["doc_id", "text_key", "owner", "repository"]
+    rows = rows.select(
+        *keys, F.sort_array(F.concat(*[_spans(k) for k in range(BASE)])).alias("base"), F.filter(_spans(BASE), mixed).alias("bare")
     )
-    return rows.select("doc_id", "text_key", "owner", "repository", "base", _clear(F.col("base"), F.col("bare")).alias("bare"))
+    rows = rows.select(*keys, "base", F.sort_array(F.concat("base", "bare")).alias("both"))
+    end = lambda s: F.when(s["kind"] < BASE, s["end"]).otherwise(0)
+    return _with_running(rows, "reach", "both", end, F.greatest).select(*keys, "base", _clear().alias("bare"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
