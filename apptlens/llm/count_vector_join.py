@@ -50,7 +50,7 @@ HUBS = 8
 # Rounds of hubs go on until the pairs left are no more than the rows of the
 # first round, or until one leaves more than this share of the rows open; the
 # tree compares those.
-SHRINK = 0.75
+SHRINK = 0.9
 
 # Nodes to be verified that are sent to the texts; for more, the texts are shuffled.
 BROADCAST_ROWS = 1 << 19
