@@ -321,6 +321,23 @@ def test_passages_among_variants(spark, monkeypatch, small):
     assert all(got[i]["n_links"] == 0 for i in texts if i % 100 >= 20)
 
 
+@pytest.mark.parametrize("small", [128, 8])
+def test_passages_of_large_groups_link_all_texts(spark, monkeypatch, small):
+    monkeypatch.setattr(compact_windows, "SMALL_GROUP", small)
+    own = lambda k, n: [f"g{k}n{i}" for i in range(n)]
+    passage = own("p", 80)
+    # Three versions of one passage; every two of them are above the threshold.
+    versions = [passage, passage[:20] + ["other"] + passage[21:], passage[:60] + ["words"] + passage[61:]]
+    texts = {k: " ".join(own(f"a{k}", 30) + versions[k % 3] + own(f"b{k}", 30)) for k in range(60)}
+    # Two that share a longer passage besides: the common part must not hide it.
+    for k in (40, 50):
+        texts[k] = " ".join(own(f"a{k}", 30) + passage + own("longer", 60))
+    got = {r["doc_id"]: r for r in compact_windows.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert [got[k]["n_links"] for k in texts] == [59] * 60
+    assert all(got[k]["passage_ids"] == [*range(k + 1)][: 59 if k == 59 else k + 1] for k in texts)
+    assert all(got[k]["spans"] == "30-170" for k in (40, 50))
+
+
 def test_passages_with_earlier_parts_and_copies(spark):
     own = lambda k, n: [f"k{k}n{i}" for i in range(n)]
     passage, alone = own(0, 60), " ".join(own(1, 500))
