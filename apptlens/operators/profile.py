@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from apptlens.functions.cleaning import round_n, safe_ratio
 from apptlens.operators.prefix import lookup, percentiles, scalars
+from apptlens.session import materialize
 
 
 def rate_by_category(df: DataFrame, category: str, target: str, k: int = 15) -> DataFrame:
@@ -27,7 +28,8 @@ def rate_by_quantile_bin(df: DataFrame, value: str, target: str, bins: int = 10)
 
     The smallest value belongs to the first bin.
     """
-    rows = df.select(F.col(value).cast("double").alias("__x"), F.col(target).alias("__y")).dropna()
+    # Stored, the frame is computed once for the edges and the counts.
+    rows = materialize(df.select(F.col(value).cast("double").alias("__x"), F.col(target).alias("__y")).dropna(), "binned-values")
     points = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = percentiles(rows, [], "__x", points)
     edges = edges.select(F.array_distinct(F.array(*points)).alias("edges"))

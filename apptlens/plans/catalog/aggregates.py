@@ -10,6 +10,7 @@ from apptlens.functions.cleaning import binary_target, target_class
 from apptlens.operators import filters, history, kpi, profile, providers, trend
 from apptlens.operators.prefix import percentiles
 from apptlens.plans.registry import day, query, r6, r10
+from apptlens.session import materialize
 from apptlens.sources import star
 
 _KPI = """count(*) AS total, count(*) FILTER (WHERE risk_level IN ('High', 'Very High')) AS high_risk, round(avg(predicted_risk_prob), 10) AS avg_risk,
@@ -166,7 +167,7 @@ def _(spark, d):
        FROM b GROUP BY feature, bin""",
 )
 def _(spark, d):
-    rows = _labeled(spark, d, "LEAD_TIME_DAYS", "APPT_HOUR")
+    rows = materialize(_labeled(spark, d, "LEAD_TIME_DAYS", "APPT_HOUR").select("LEAD_TIME_DAYS", "APPT_HOUR", "target"), "labeled")
     parts = [
         profile.rate_by_quantile_bin(rows, column, "target").withColumn("feature", F.lit(name))
         for name, column in (("lead", "LEAD_TIME_DAYS"), ("hour", "APPT_HOUR"))
