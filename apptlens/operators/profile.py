@@ -116,7 +116,8 @@ def corrected_kurtosis(g2: Column, n: Column) -> Column:
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per numeric column: size, moments, quartiles, distinct values."""
-    long = _long(df, columns, "double")
+    # Stored, the frame is computed once for the moments, the quartiles and the distinct values.
+    long = _long(materialize(df.select(*columns), "profiled"), columns, "double")
     n = F.count("value").cast("double")
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"),

@@ -170,3 +170,26 @@ def test_schema_helpers(spark):
     assert encode.select_by_type(df) == {"text": ["s"], "numeric": ["i", "d"]}
     assert encode.except_columns(df.columns, ["s"]) == ["i", "d"]
     assert encode.align_features(df, ["d", "zz", "i"]).first() == (2.0, 0, 1)
+
+
+def _watched(spark, rows):
+    """A frame that counts how many of its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "x double, y int")
+    return frame.mapInArrow(pass_on, frame.schema), seen
+
+
+def test_profiles_compute_their_input_once(spark):
+    rows = [(float(i % 10) if i % 7 else None, i % 2) for i in range(100)]
+    frame, seen = _watched(spark, rows)
+    got = profile.profile_numeric(frame, ["x"]).first()
+    assert (got["count"], got["null_count"], got["unique_count"], seen.value) == (85, 15, 10, 100)
+    frame, seen = _watched(spark, rows)
+    bins = profile.rate_by_quantile_bin(frame, "x", "y", 4).collect()
+    assert sum(r["n"] for r in bins) == 85 and seen.value == 100
