@@ -185,3 +185,20 @@ def test_a_lookup_does_not_scan_the_history(spark, sf_dir):
     refreshed = day_counts(rows.filter(F.col("appointment_date") >= F.lit("1997-01-20").cast("timestamp_ntz")))
     plan = refreshed._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(appointment_da" in plan[plan.index("PushedFilters") :]
+
+
+def test_base_is_counted_without_days(spark, monkeypatch):
+    handed = []
+    write = HistoryState._write_base
+
+    def watched(self, counts, upto):
+        handed.append(counts.count())
+        write(self, counts, upto)
+
+    monkeypatch.setattr(HistoryState, "_write_base", watched)
+    rows = [(i, f"p{i % 3}", "d", "No-Show" if i % 4 == 0 else "Completed", START + timedelta(days=i), START) for i in range(40)]
+    state = HistoryState(spark, shared_dir(spark, "state"))
+    state.rebuild(spark.createDataFrame(rows, SCHEMA), (START + timedelta(days=40)).date())
+    # One row per key: three patients and a provider, not one per key and day.
+    assert handed == [4]
+    assert {tuple(r) for r in state.totals("provider").select("total", "no_shows").collect()} == {(40, 10)}
