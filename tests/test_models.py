@@ -2,16 +2,18 @@
 
 import itertools
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apptlens.operators import evaluate, explain, models, splits
 from apptlens.plans import scoring, training
 from apptlens.plans.features import build_features
-from apptlens.schemas import BOOKING_COLUMNS, FEATURES
+from apptlens.schemas import BOOKING_COLUMNS, FEATURES, RAW_SCHEMA
 from apptlens.session import shared_dir
 from apptlens.sources import artifacts, star
 from apptlens.streaming import bookings as streaming
@@ -155,3 +157,30 @@ def test_features_are_complete_and_ordered(spark, sf_dir, trained):
     assert rows.count() == a.count()
     sample = splits.background_sample(rows, "id", 100)
     assert sample.count() == 100
+
+
+def test_running_rates_are_given_codes(spark, monkeypatch):
+    handed = []
+    running = training.add_running_rates
+
+    def watched(rows, *options):
+        handed.append(dict(rows.dtypes))
+        return running(rows, *options)
+
+    monkeypatch.setattr(training, "add_running_rates", watched)
+    rows = []
+    for i in range(60):
+        r = {f.name: "a" if f.dataType == T.StringType() else 1 if f.dataType != T.DoubleType() else 1.0 for f in RAW_SCHEMA}
+        r.update(UNIQUE_ID=f"p{i % 12}", APPT=i, APPT_STATUS="No Show" if i % 3 == 0 else "CHECKED OUT", AGE=str(30 + i % 5), SEX="FM"[i % 2])
+        r.update(ATTENDING_PHYSICIAN=f"d{i % 2}", EVENT_TIME=datetime(2024, 1, 1) + timedelta(hours=i))
+        rows.append(tuple(r[f.name] for f in RAW_SCHEMA))
+    table, _ = training.training_table(spark.createDataFrame(rows, RAW_SCHEMA))
+    assert handed[0]["SEX"] == "int" and "ENCNTR_TYPE" not in handed[0]
+    got = {r["id"]: r for r in table.collect()}
+    missed = [int(i % 3 == 0) for i in range(60)]
+    assert len(got) == 60
+    for i in range(60):
+        for column, step in (("PATIENT_NOSHOW_RATE", 12), ("PHYSICIAN_NOSHOW_RATE", 2)):
+            past = [missed[j] for j in range(i % step, i, step)]
+            if past:
+                assert got[i][column] == pytest.approx(sum(past) / len(past))
