@@ -2,17 +2,18 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from apptlens.operators import evaluate, explain, models, splits
+from apptlens.operators import encode, evaluate, explain, models, splits
 from apptlens.plans import scoring, training
 from apptlens.plans.features import build_features
 from apptlens.schemas import BOOKING_COLUMNS, FEATURES
-from apptlens.session import shared_dir
+from apptlens.session import materialize, settings, shared_dir
 from apptlens.sources import artifacts, star
 from apptlens.streaming import bookings as streaming
 
@@ -155,3 +156,56 @@ def test_features_are_complete_and_ordered(spark, sf_dir, trained):
     assert rows.count() == a.count()
     sample = splits.background_sample(rows, "id", 100)
     assert sample.count() == 100
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_need_no_shuffle_and_are_whole_groups(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.format_string("P%04d", F.col("id") % 700)).alias("patient"), "id")
+    parts = training.three_way_by_patient(rows, "patient")
+    assert "Exchange" not in _plan(parts)
+    outer = splits.split_by_group(rows, "patient", test=0.20)
+    test = {r.patient for r in outer.filter("side = 'test'").collect()}
+    inner = splits.split_by_group(outer.filter("side = 'train'"), "patient", splits.hash_order("patient", seed=7), 0.20)
+    calibration = {r.patient for r in inner.filter("side = 'test'").collect()}
+    assert test and calibration
+    for r in parts.collect():
+        assert r.part == ("test" if r.patient in test else "calibration" if r.patient in calibration else "train")
+
+
+def test_small_code_tables_are_sent_to_the_rows(spark):
+    rows = materialize(spark.range(500).select("id", F.format_string("v%03d", F.col("id") % 90).alias("c"), (F.col("id") % 3).cast("string").alias("d")), "rows")
+    encoders = materialize(encode.label_encode_fit(rows.filter("id % 90 > 4"), ["c", "d"]), "encoders")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "16"}):
+        coded = encode.label_encode_apply(rows, encoders, ["c", "d"])
+        plan = _plan(coded)
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert coded.filter("c <> greatest(0, id % 90 - 5) OR d <> id % 3").count() == 0
+
+
+def test_packed_codes_come_back(spark):
+    names = [f"c{i}" for i in range(6)]
+    wide = spark.range(64).select("id", *[(F.col("id") * 33_554_431 % (1 << (5 * i + 1))).cast("int").alias(n) for i, n in enumerate(names)])
+    encoders = wide.unpivot("id", names, "column", "code").selectExpr("column", "cast(code as string) AS value", "code")
+    packed, codes = encode.pack_codes(wide, encoders, names)
+    assert len(packed.columns) < len(wide.columns)
+    assert packed.withColumns(codes).select("id", *names).exceptAll(wide).count() == 0
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    kept = spark.range(10_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k")).count()
+    assert materialize(kept, "kept").count() == 97
+    for _ in range(50):
+        if not (left := {n for n in shuffled() - before if n.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    # What counting the stored rows shuffled is a row per file and goes with its frame.
+    assert len(left) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -158,3 +158,13 @@ def test_percentiles_of_nothing(continuous):
     assert prefix.percentiles(none, ["k"], "v", {"m": 0.5}).collect() == []
     wide = prefix.percentiles(continuous.filter("id < 3"), ["id"], "v", {"m": 0.5}, 1)
     assert wide.count() == 2
+
+
+def test_keys_and_orders_are_shuffled_once(spark):
+    rows = spark.range(30).select(F.format_string("k%d", F.col("id") % 3).alias("key"), "id", (F.col("id") * 2).alias("more"))
+    out = prefix.running_totals(prefix.materialize(rows, "rows"), ["key"], ["id"], {"total": F.lit(1)})
+    assert out.columns == ["key", "id", "more", "total"]
+    assert out.filter("total <> id div 3 OR more <> 2 * id OR key <> concat('k', id % 3)").count() == 0
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    shuffled = re.search(r"Project \[(.*)\]", below).group(1)
+    assert not re.search(r"\b(key#\d+|id#\d+L)(, |$)", shuffled) and "AS __k0" in shuffled
