@@ -10,7 +10,7 @@ from apptlens.operators import evaluate, filters, profile
 from apptlens.plans.catalog.modeling import fitted
 from apptlens.plans.registry import moment, query, r10
 from apptlens.schemas import APPOINTMENTS_SCHEMA, BOOKING_COLUMNS
-from apptlens.session import materialize, shared_dir
+from apptlens.session import WIDE, materialize, settings, shared_dir
 from apptlens.sources import appointments_table, artifacts, batches, exports, history_files, monthly_table, star
 
 AS_OF = datetime(1999, 6, 1, 12, 0, 0)
@@ -68,8 +68,10 @@ def _(spark, d):
     """Resolved rows are the table; the scheduled ones are appended to it."""
     path = shared_dir(spark, "appointments")
     a = star.appointments(spark, d)
-    a.filter("status <> 'Scheduled'").write.parquet(path)
-    batch = a.filter("status = 'Scheduled'").select(*BOOKING_COLUMNS).drop("status")
+    with settings(spark, WIDE):
+        a.filter("status <> 'Scheduled'").write.parquet(path)
+    # Numbering reads the batch several times; stored, its joins are made once.
+    batch = materialize(a.filter("status = 'Scheduled'").select(*BOOKING_COLUMNS).drop("status"), "due", WIDE)
     appointments_table.append_scored_bookings(spark, path, batch, rows_per_range=5_000)
     table = appointments_table.scan_appointments(spark, path)
     per_id = table.groupBy("id").agg(F.count("*").alias("n"), F.max("status").alias("status"), F.count("created_at").alias("stamped"))
@@ -86,11 +88,13 @@ def _(spark, d):
     path = shared_dir(spark, "batches")
     a = star.appointments(spark, d)
     batches.create_batches(spark, path, a.filter("status <> 'Scheduled'"))
-    due = a.filter("status = 'Scheduled'")
+    # Numbering reads every batch several times; stored, their joins are made once.
+    due = materialize(a.filter("status = 'Scheduled'").select("id", *BOOKING_COLUMNS), "due", WIDE)
     third, rest = (due.filter(c).select(*BOOKING_COLUMNS) for c in ("id % 3 = 0", "id % 3 <> 0"))
     batches.append_batch(spark, path, third, "third", rows_per_range=5_000)
     lost = batches.claim_range(spark, path, 1)
-    appointments_table.complete_bookings(rest, F.lit(lost * batches.IDS_PER_RANGE)).write.parquet(f"{path}/rows/range={lost}")
+    with settings(spark, WIDE):
+        appointments_table.complete_bookings(rest, F.lit(lost * batches.IDS_PER_RANGE)).write.parquet(f"{path}/rows/range={lost}")
     for rows, name in ((rest, "rest"), (third, "third"), (rest, "rest")):
         batches.append_batch(spark, path, rows, name, rows_per_range=5_000)
     stored = batches.read_batches(spark, path)

@@ -11,6 +11,7 @@ from apptlens.functions.cleaning import coerce_numeric
 from apptlens.operators.filters import overdue_scheduled
 from apptlens.operators.prefix import ROWS_PER_RANGE, row_numbers
 from apptlens.schemas import APPOINTMENTS_SCHEMA, BOOKING_COLUMNS
+from apptlens.session import WIDE, settings
 
 
 def create_table(spark: SparkSession, name: str, path: str, recreate: bool = False) -> None:
@@ -49,10 +50,14 @@ def complete_bookings(batch: DataFrame, last_id: Column, rows_per_range: int = R
 
 
 def append_scored_bookings(spark: SparkSession, path: str, batch: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> None:
-    """Add scored bookings to the table. One writer at a time."""
+    """Add scored bookings to the table. One writer at a time.
+
+    The batch is read several times: store it first if it is dear to make.
+    """
     table = spark.read.schema(APPOINTMENTS_SCHEMA).parquet(path)
     last_id = table.select(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
-    complete_bookings(batch, last_id, rows_per_range).write.mode("append").parquet(path)
+    with settings(spark, WIDE):
+        complete_bookings(batch, last_id, rows_per_range).write.mode("append").parquet(path)
 
 
 def resolve_overdue_status(

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from apptlens.operators.prefix import ROWS_PER_RANGE
 from apptlens.schemas import APPOINTMENTS_SCHEMA
+from apptlens.session import WIDE, settings
 from apptlens.sources.appointments_table import complete_bookings
 
 # Ids of a range: its number times this, and on.
@@ -36,19 +37,24 @@ _ROWS = T.StructType([*APPOINTMENTS_SCHEMA, T.StructField("range", T.LongType())
 def create_batches(spark: SparkSession, path: str, rows: DataFrame | None = None) -> None:
     """Start a table, from rows that have ids already (each once) or empty."""
     rows = spark.createDataFrame([], APPOINTMENTS_SCHEMA) if rows is None else rows
-    rows.select(*APPOINTMENTS_SCHEMA.fieldNames()).write.parquet(f"{path}/rows/range=0")
+    with settings(spark, WIDE):
+        rows.select(*APPOINTMENTS_SCHEMA.fieldNames()).write.parquet(f"{path}/rows/range=0")
     _commit(spark, path, INITIAL, 0)
 
 
 def append_batch(spark: SparkSession, path: str, rows: DataFrame, batch: str, rows_per_range: int = ROWS_PER_RANGE) -> bool:
-    """Store a batch of scored bookings unless it is stored already; whether it was new."""
+    """Store a batch of scored bookings unless it is stored already; whether it was new.
+
+    The rows are read several times: store them first if they are dear to make.
+    """
     ledger = read_ledger(spark, path)
     if not ledger.filter(F.col("batch") == batch).isEmpty():
         return False
     used = ledger.agg(F.max("last_id")).first()[0] or 0
     number = claim_range(spark, path, used // IDS_PER_RANGE + 1)
     full = complete_bookings(rows, F.lit(number * IDS_PER_RANGE), rows_per_range)
-    full.write.parquet(f"{path}/rows/range={number}")
+    with settings(spark, WIDE):
+        full.write.parquet(f"{path}/rows/range={number}")
     _commit(spark, path, batch, number)
     return True
 

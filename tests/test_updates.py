@@ -6,8 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from apptlens.plans import registry
+from apptlens.plans.catalog import storage
 from apptlens.schemas import APPOINTMENTS_SCHEMA, BOOKING_COLUMNS
-from apptlens.session import shared_dir
+from apptlens.session import materialize, shared_dir
 from apptlens.sources import appointments_table, batches, monthly_table, star
 
 AS_OF = datetime(1996, 3, 15, 12)
@@ -168,3 +170,14 @@ def test_empty_start(spark, appointments):
     assert batches.read_batches(spark, path).isEmpty()
     batches.append_batch(spark, path, bookings(appointments.limit(3)), "first")
     assert per_batch(spark, path) == {"first": (3, 3)}
+
+
+@pytest.mark.parametrize("name", ["append_scored_bookings", "append_booking_batches"])
+def test_registered_appends_join_their_bookings_once(spark, sf_dir, monkeypatch, name):
+    stored, scans = [], []
+    monkeypatch.setattr(storage, "materialize", lambda df, purpose, *run: stored.append(purpose) or materialize(df, purpose, *run))
+    number = appointments_table.row_numbers
+    monkeypatch.setattr(appointments_table, "row_numbers", lambda rows, *a: scans.append(rows._jdf.queryExecution().executedPlan().toString()) or number(rows, *a))
+    assert registry.QUERIES[name](spark, sf_dir).count() == 3
+    assert stored == ["due"] and scans
+    assert all("Join" not in plan for plan in scans)
