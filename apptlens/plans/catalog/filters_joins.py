@@ -10,7 +10,7 @@ from apptlens.functions import temporal, tiers
 from apptlens.operators import encode, evaluate, filters, history, kpi, splits, trend
 from apptlens.plans.registry import day, moment, query, r10
 from apptlens.schemas import NULLABLE_RAW
-from apptlens.session import shared_dir
+from apptlens.session import materialize, shared_dir
 from apptlens.sources import history_files, star
 from apptlens.sources.history_state import HistoryState
 
@@ -162,7 +162,10 @@ def _(spark, d):
 def _(spark, d):
     """Resolved rows before the booking was made; providers are cut into ranges of time."""
     a = star.appointments(spark, d, "id", "patient_id", "attending_physician", "status", "appointment_date", "booking_date")
-    out = history.enrich_history(a, a, resolved_only=True, before="booking_date", rows_per_range=5_000)
+    # Bookings and history are read several times; stored, they are joined once.
+    a = materialize(a, "appointments")
+    asked = a.select("id", "patient_id", "attending_physician", "booking_date")
+    out = history.enrich_history(asked, a, resolved_only=True, before="booking_date", rows_per_range=5_000)
     return out.select("id", "patient_visits", r10("patient_rate").alias("patient_rate"), r10("provider_rate").alias("provider_rate"))
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from apptlens.operators import history
 from apptlens.plans import features
+from apptlens.plans.catalog import filters_joins
+from apptlens.plans.registry import QUERIES
 from apptlens.schemas import APPOINTMENTS_SCHEMA
-from apptlens.session import shared_dir
+from apptlens.session import materialize, shared_dir
 from apptlens.sources import star
 from apptlens.sources.history_state import HistoryState, day_counts
 
@@ -202,3 +204,22 @@ def test_base_is_counted_without_days(spark, monkeypatch):
     # One row per key: three patients and a provider, not one per key and day.
     assert handed == [4]
     assert {tuple(r) for r in state.totals("provider").select("total", "no_shows").collect()} == {(40, 10)}
+
+
+def test_rows_as_of_a_moment_come_from_a_stored_table(spark, sf_dir, monkeypatch):
+    stored = []
+    for module in (filters_joins, history):
+        monkeypatch.setattr(module, "materialize", lambda df, purpose: stored.append(purpose) or materialize(df, purpose))
+    out = QUERIES["enrich_history_asof"](spark, sf_dir)
+    assert stored == ["appointments", "known"]
+    assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_as_of_a_moment_keep_their_types(spark):
+    """Also where the facts have the key and the moment in other types."""
+    rows = spark.sql("SELECT * FROM VALUES (1, date'2024-01-03', 'x'), (2, null, 'y'), (null, date'2024-01-05', 'z') AS t(k, on, more)")
+    facts = spark.sql("SELECT cast(k AS long) AS k, cast(at AS timestamp_ntz) AS at, 1 AS seen, 1 AS hits FROM VALUES (1, date'2024-01-02'), (1, date'2024-01-03'), (2, date'2024-01-01') AS t(k, at)")
+    for told in (facts, facts.select(F.col("k").cast("int").alias("k"), F.col("at").cast("date").alias("at"), "seen", "hits")):
+        out = history.known_before(rows, told, "k", "on", "n", "h")
+        assert [f.dataType for f in out.schema[:3]] == [f.dataType for f in rows.schema[:3]]
+        assert {(r.k, r.more, r.n, r.h) for r in out.collect()} == {(1, "x", 1, 1), (2, "y", 0, 0), (None, "z", 0, 0)}
