@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from apptlens.operators import encode, evaluate, explain, models, splits
 from apptlens.plans import scoring, training
+from apptlens.plans.catalog import modeling
 from apptlens.plans.features import build_features
+from apptlens.plans.registry import QUERIES
 from apptlens.schemas import BOOKING_COLUMNS, FEATURES
 from apptlens.session import materialize, settings, shared_dir
 from apptlens.sources import artifacts, star
@@ -209,3 +211,14 @@ def test_stored_frames_leave_no_shuffle_files(spark):
     # What counting the stored rows shuffled is a row per file and goes with its frame.
     assert len(left) <= 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_the_registered_search_is_whole(spark, sf_dir, trained, monkeypatch):
+    seen = []
+    monkeypatch.setattr(modeling, "fitted", lambda *_: trained)
+    monkeypatch.setattr(models, "tune_params", lambda rows, trials, **options: seen.append((rows.count(), trials)) or (trials[0], rows.limit(1)))
+    QUERIES["tune_params"](spark, sf_dir)
+    (n, trials), = seen
+    train = trained.table.filter("part = 'train'").count()
+    assert n == min(train, training.TUNING_ROWS) and trials == models.draw_params(50)
+    assert min(t["maxIter"] for t in trials) >= 100 and max(t["maxDepth"] for t in trials) > 4
